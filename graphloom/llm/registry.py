@@ -23,6 +23,13 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are kept, with their evidence and posteriors."""
+    from graphloom.llm.quality import score
+
+    return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).where("q_posterior >= 0.5")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.warc import round_trip
 
