@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.neighbours import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings")).withColumn("cosine", F.round("cosine", 6))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that are kept, with their evidence and posteriors."""
     from graphloom.llm.quality import score
