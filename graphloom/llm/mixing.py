@@ -124,8 +124,8 @@ def mix_sources(
         [(s, k, units[k], slots[k], blocks[k], placed(k), max(1, -(-docs_in[k] // bucket_docs))) for s, k in task_of.items()],
         "mix_key string, mix_task string, p long, slots array<long>, blocks long, placed long, buckets long",
     )
-    # One row a source, a slot a unit: of bounded size, so it goes to every executor.
-    keyed = keyed.join(F.broadcast(plan), "mix_key")
+    # One row a source, a slot a unit: of bounded size, so it goes to every executor. The slots join after the shuffles.
+    keyed = keyed.join(F.broadcast(plan.select("mix_key", "mix_task", "buckets")), "mix_key")
     keyed = keyed.withColumn("mix_h", F.xxhash64(F.col(id_col).cast("string"))).withColumn("mix_bucket", F.pmod("mix_h", "buckets"))
     # Numbers within a task without one partition for it: count buckets, sum the counts, number within buckets.
     counts = keyed.groupBy("mix_task", "mix_bucket").agg(F.count("*").alias("n"))
@@ -142,6 +142,7 @@ def mix_sources(
         .withColumn("mix_first", F.floor(number / block_docs))
         .withColumn("mix_rank", number % block_docs)
     )
+    numbered = numbered.drop("mix_key").join(F.broadcast(plan.drop("mix_key", "buckets").distinct()), "mix_task")
     epochs = numbered.where("mix_first < placed").withColumn(
         "mix_epoch", F.explode(F.expr("sequence(0L, (placed - 1 - mix_first) div blocks)"))
     )
