@@ -1,5 +1,97 @@
-"""DuckDB SQL that gives the rows of the queries in registry."""
+"""DuckDB SQL that gives the rows of the queries in registry, written without their methods."""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+_FOLDED = r"regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+')"
+
+
+def _spans(number: str, value: str) -> str:
+    """Windows of 50 words that two documents have, as spans."""
+    return rf"""
+    WITH words AS (
+        SELECT doc_id, regexp_extract_all(text, '[^ \t\n\x0b\f\r]+') AS w
+        FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+    ), starts AS (
+        SELECT doc_id, w, unnest(range(len(w) - 49)) AS s FROM words WHERE len(w) >= 50
+    ), windows AS (
+        SELECT doc_id, s, array_to_string(w[s + 1 : s + 50], ' ') AS content FROM starts
+    ), shared AS (
+        SELECT content, {value} AS number FROM windows GROUP BY content HAVING count(DISTINCT doc_id) > 1
+    ), hits AS (
+        SELECT doc_id, s, number FROM windows JOIN shared USING (content)
+    ), marked AS (
+        SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 0 ELSE 1 END AS fresh FROM hits
+    ), islands AS (
+        SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS island FROM marked
+    )
+    SELECT doc_id, CAST(min(s) AS BIGINT) AS start_word, CAST(max(s) + 50 AS BIGINT) AS end_word, CAST(max(number) AS BIGINT) AS {number}
+    FROM islands GROUP BY doc_id, island
+    """
+
+
+#: Secrets of the kinds that a pattern alone can tell: hex values in assignments. Documents of the given
+#: tables have no others; key encodings, tokens and checksums have tests of their own.
+_SECRETS = r"""
+    WITH found AS (
+        SELECT doc_id, text, unnest(list_distinct(regexp_extract_all(
+            text, '(?i:token|secret|passwd|password|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential)["'']?\s{0,4}[:=]\s{0,4}["'']?((?:[0-9a-f]{2}){16,64})(?:[^0-9A-Za-z]|$)', 1))) AS value
+        FROM documents
+    ), cut AS (SELECT doc_id, value, string_split(text, value) AS parts FROM found
+    ), places AS (
+        SELECT doc_id, value, list_sum(list_transform(parts[1 : k], lambda x: length(x))) + (k - 1) * length(value) AS at
+        FROM (SELECT *, unnest(range(1, len(parts))) AS k FROM cut)
+    )
+    SELECT doc_id, CAST(at AS BIGINT) AS start_char, CAST(at + length(value) AS BIGINT) AS end_char,
+        'hex_secret' AS kind, CAST(4 * length(value) AS VARCHAR) || ' bits' AS detail, sha256(value) AS value_sha256
+    FROM places
+"""
+
+_NEAREST = """
+    WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    pairs AS (
+        SELECT a.vec_id AS vec_id, b.vec_id AS neighbour_id, list_cosine_similarity(a.e, b.e) AS c
+        FROM v a JOIN v b ON a.vec_id <> b.vec_id
+    ), ranked AS (
+        SELECT vec_id, neighbour_id, c, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, neighbour_id) AS rank FROM pairs
+    )
+    SELECT vec_id, neighbour_id, CAST(rank AS BIGINT) AS rank, round(c, 6) AS cosine FROM ranked WHERE rank <= 10
+"""
+
+_LEAKS = rf"""
+    WITH d AS (SELECT doc_id, {_FOLDED} AS w FROM documents),
+    b AS (SELECT item_id, {_FOLDED} AS w FROM benchmark),
+    dg AS (SELECT doc_id, p, array_to_string(w[p + 1 : p + 8], ' ') AS g FROM (SELECT doc_id, w, unnest(range(len(w) - 7)) AS p FROM d WHERE len(w) >= 8)),
+    bg AS (SELECT item_id, q, array_to_string(w[q + 1 : q + 8], ' ') AS g FROM (SELECT item_id, w, unnest(range(len(w) - 7)) AS q FROM b WHERE len(w) >= 8)),
+    hits AS (SELECT doc_id, item_id, p, q FROM dg JOIN bg USING (g)),
+    runs AS (SELECT doc_id, item_id, min(p) AS p, min(q) AS q, count(*) + 7 AS n FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, p - q ORDER BY p) AS island FROM hits) GROUP BY doc_id, item_id, p - q, island),
+    best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, q, p) AS k FROM runs)
+    SELECT doc_id, item_id, CAST(n AS BIGINT) AS match_words, CAST(q AS BIGINT) AS item_start, CAST(p AS BIGINT) AS doc_start FROM best WHERE k = 1
+"""
+
+_JACCARD = rf"""
+    WITH words AS (SELECT doc_id, {_FOLDED} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+    sets AS (
+        SELECT doc_id, CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+            ELSE list_sort(list_distinct(list_transform(range(len(w) - 2), lambda i: array_to_string(w[i + 1 : i + 3], ' ')))) END AS s
+        FROM words WHERE len(w) > 0
+    ), classes AS (SELECT s, min(doc_id) AS lead, len(s) AS n FROM sets GROUP BY s),
+    copies AS (SELECT lead AS a, doc_id AS b, n AS na, n AS nb, n AS overlap FROM sets JOIN classes USING (s) WHERE doc_id <> lead),
+    members AS (SELECT lead, n, unnest(s) AS g FROM classes),
+    pairs AS (
+        SELECT x.lead AS a, y.lead AS b, x.n AS na, y.n AS nb, count(*) AS overlap
+        FROM members x JOIN members y ON x.g = y.g AND (x.n < y.n OR (x.n = y.n AND x.lead < y.lead))
+        GROUP BY ALL HAVING count(*) >= 0.5 * (x.n + y.n - count(*))
+    )
+    SELECT a AS doc_id_a, b AS doc_id_b, CAST(na AS BIGINT) AS size_a, CAST(nb AS BIGINT) AS size_b, CAST(overlap AS BIGINT) AS overlap,
+        round(CAST(overlap AS DOUBLE) / (na + nb - overlap), 6) AS jaccard
+    FROM (SELECT * FROM pairs UNION ALL SELECT * FROM copies)
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_secret_scan": _SECRETS,
+    "op3_suffix_array_dedup": _spans("most_docs", "count(DISTINCT doc_id)"),
+    "op5_substring_dedup": _spans("most_copies", "count(*)"),
+    "op6_nearest": _NEAREST,
+    "op8_decontaminate": _LEAKS,
+    "op9_ngram_jaccard": _JACCARD,
+}
