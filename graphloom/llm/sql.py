@@ -38,10 +38,10 @@ _SECRETS = r"""
         FROM documents
     ), cut AS (SELECT doc_id, value, string_split(text, value) AS parts FROM found
     ), places AS (
-        SELECT doc_id, value, list_sum(list_transform(parts[1 : k], lambda x: length(x))) + (k - 1) * length(value) AS at
+        SELECT doc_id, value, list_sum(list_transform(parts[1 : k], lambda x: length(x))) + (k - 1) * length(value) AS place
         FROM (SELECT *, unnest(range(1, len(parts))) AS k FROM cut)
     )
-    SELECT doc_id, CAST(at AS BIGINT) AS start_char, CAST(at + length(value) AS BIGINT) AS end_char,
+    SELECT doc_id, CAST(place AS BIGINT) AS start_char, CAST(place + length(value) AS BIGINT) AS end_char,
         'hex_secret' AS kind, CAST(4 * length(value) AS VARCHAR) || ' bits' AS detail, sha256(value) AS value_sha256
     FROM places
 """
@@ -87,6 +87,18 @@ _JACCARD = rf"""
     FROM (SELECT * FROM pairs UNION ALL SELECT * FROM copies)
 """
 
+_WARC = """
+    WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS body FROM pages),
+    k AS (SELECT *, octet_length(body) AS size, unnest(range(greatest(1, CAST(ceil(octet_length(body) / 65536.0) AS BIGINT)))) AS chunk_no FROM p)
+    SELECT 'urn:row:' || page_id AS record_id, 'resource' AS warc_type, url AS target_uri, 'text/html' AS content_type,
+        CAST(size AS BIGINT) AS content_length, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(65536 * chunk_no AS BIGINT) AS byte_offset,
+        CAST(least(65536, size - 65536 * chunk_no) AS BIGINT) AS n_bytes, 65536 * (chunk_no + 1) >= size AS is_last,
+        sha256(body[1 : least(65536 * (chunk_no + 1), size)]) AS sha256,
+        CASE WHEN 65536 * (chunk_no + 1) >= size THEN true END AS digest_ok, CAST(NULL AS VARCHAR) AS error, page_id,
+        base64(body[65536 * chunk_no + 1 : least(65536 * (chunk_no + 1), size)]) AS payload_base64
+    FROM k
+"""
+
 ORACLES: dict[str, str] = {
     "op2_secret_scan": _SECRETS,
     "op3_suffix_array_dedup": _spans("most_docs", "count(DISTINCT doc_id)"),
@@ -94,4 +106,5 @@ ORACLES: dict[str, str] = {
     "op6_nearest": _NEAREST,
     "op8_decontaminate": _LEAKS,
     "op9_ngram_jaccard": _JACCARD,
+    "op10_warc": _WARC,
 }
