@@ -72,7 +72,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All chunk rows of all pages; payloads in base 64, so that engines print them alike."""
     from graphloom.llm.warc import round_trip
 
-    return round_trip(spark, _table(spark, sf_dir, "pages")).withColumn("payload_base64", F.base64("payload")).drop("payload")
+    return round_trip(spark, _table(spark, sf_dir, "pages")).withColumn("payload_base64", F.translate(F.base64("payload"), "\r\n", "")).drop("payload")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
