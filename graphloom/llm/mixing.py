@@ -122,17 +122,17 @@ def mix_sources(
 
     plan = spark.createDataFrame(
         [(s, k, units[k], slots[k], blocks[k], placed(k), max(1, -(-docs_in[k] // bucket_docs))) for s, k in task_of.items()],
-        "mix_key string, mix_task string, p long, slots array<long>, blocks long, placed long, buckets long",
+        "mix_key string, mix_task string, mix_p long, mix_slots array<long>, mix_blocks long, mix_placed long, mix_buckets long",
     )
     # One row a source, a slot a unit: of bounded size, so it goes to every executor. The slots join after the shuffles.
-    keyed = keyed.join(F.broadcast(plan.select("mix_key", "mix_task", "buckets")), "mix_key")
-    keyed = keyed.withColumn("mix_h", F.xxhash64(F.col(id_col).cast("string"))).withColumn("mix_bucket", F.pmod("mix_h", "buckets"))
+    keyed = keyed.join(F.broadcast(plan.select("mix_key", "mix_task", "mix_buckets")), "mix_key")
+    keyed = keyed.withColumn("mix_h", F.xxhash64(F.col(id_col).cast("string"))).withColumn("mix_bucket", F.pmod("mix_h", "mix_buckets"))
     # Numbers within a task without one partition for it: count buckets, sum the counts, number within buckets.
-    counts = keyed.groupBy("mix_task", "mix_bucket").agg(F.count("*").alias("n"))
+    counts = keyed.groupBy("mix_task", "mix_bucket").agg(F.count("*").alias("mix_n"))
     before = counts.select(
         "mix_task",
         "mix_bucket",
-        (F.sum("n").over(Window.partitionBy("mix_task").orderBy("mix_bucket")) - F.col("n")).alias("mix_before"),
+        (F.sum("mix_n").over(Window.partitionBy("mix_task").orderBy("mix_bucket")) - F.col("mix_n")).alias("mix_before"),
     )
     within = F.row_number().over(Window.partitionBy("mix_task", "mix_bucket").orderBy("mix_h", F.col(id_col)))
     number = F.col("mix_before") + F.col("mix_number") - 1
@@ -142,18 +142,18 @@ def mix_sources(
         .withColumn("mix_first", F.floor(number / block_docs))
         .withColumn("mix_rank", number % block_docs)
     )
-    numbered = numbered.drop("mix_key").join(F.broadcast(plan.drop("mix_key", "buckets").distinct()), "mix_task")
-    epochs = numbered.where("mix_first < placed").withColumn(
-        "mix_epoch", F.explode(F.expr("sequence(0L, (placed - 1 - mix_first) div blocks)"))
+    numbered = numbered.drop("mix_key").join(F.broadcast(plan.drop("mix_key", "mix_buckets").distinct()), "mix_task")
+    epochs = numbered.where("mix_first < mix_placed").withColumn(
+        "mix_epoch", F.explode(F.expr("sequence(0L, (mix_placed - 1 - mix_first) div mix_blocks)"))
     )
     j = F.col("mix_block")
-    return epochs.withColumn("mix_block", F.col("mix_first") + F.col("mix_epoch") * F.col("blocks")).select(
+    return epochs.withColumn("mix_block", F.col("mix_first") + F.col("mix_epoch") * F.col("mix_blocks")).select(
         *out,
         F.expr("if(mix_task = 'null', null, substring(mix_task, 2))").alias("mix_task"),
         "mix_block",
         "mix_epoch",
-        F.expr(f"mix_block * {period}L div p").alias("mix_release"),
-        F.expr(f"((mix_block + 1) * {period}L + p - 1) div p").alias("mix_deadline"),
-        (F.expr(f"mix_block div p * {period}L") + F.get(F.col("slots"), (j % F.col("p")).cast("int"))).alias("mix_slot"),
+        F.expr(f"mix_block * {period}L div mix_p").alias("mix_release"),
+        F.expr(f"((mix_block + 1) * {period}L + mix_p - 1) div mix_p").alias("mix_deadline"),
+        (F.expr(f"mix_block div mix_p * {period}L") + F.get(F.col("mix_slots"), (j % F.col("mix_p")).cast("int"))).alias("mix_slot"),
         "mix_rank",
     )

@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col: s
 
     kind = rows.schema["label_id"].dataType.simpleString()
     found = rows.mapInArrow(run, f"i {kind}, good boolean, dense binary, bag binary, sketch binary").toArrow().sort_by([("i", "ascending")])
-    found = found.take(_distinct(found["sketch"].to_pylist()))  # copies of a document aren't evidence of its words
+    found = found.take(pa.array(_distinct(found["sketch"].to_pylist()), pa.int64()))  # copies of a document aren't evidence of its words
     dense = np.array([np.frombuffer(x) for x in found["dense"].to_pylist()]).reshape(-1, DENSE)
     bags = [np.frombuffer(x, np.uint64) for x in found["bag"].to_pylist()]
     return fit(dense, bags, np.array(found["good"].to_pylist(), bool))
@@ -263,8 +263,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, hos
     """
     columns = docs.columns
     model = train(docs, labels, sample=sample, id_col=id_col, text_col=text_col)
-    rows = _sited(docs, host, path)
-    thin = rows.select("q_host", "q_path", F.col(text_col).alias("q_text"))
-    sites = written(site_posteriors(with_evidence(thin, model, "q_text", ["q_host", "q_path"])), "sites")
-    judged = _judged(with_evidence(rows, model, text_col), sites)
-    return judged.where(F.col("q_posterior") >= threshold).select(*columns)
+    # Numbered columns can't clash with those that are added.
+    sited = {"q_host": F.expr(host).cast("string"), "q_path": F.expr(path).cast("string")}
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)), *(e.alias(n) for n, e in sited.items()))
+    text = f"c{columns.index(text_col)}"
+    sites = written(site_posteriors(with_evidence(rows.select("q_host", "q_path", text), model, text, ["q_host", "q_path"])), "sites")
+    judged = _judged(with_evidence(rows, model, text), sites)
+    return judged.where(F.col("q_posterior") >= threshold).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))
