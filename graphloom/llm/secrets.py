@@ -23,15 +23,23 @@ from pyspark.sql import types as T
 #: A necessary condition for any report; it runs in the JVM, so that Python sees few texts.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}|-----BEGIN"
 
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([^-]{16,}?)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
 _ACCESS_ID = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z2-7]{16}(?![A-Za-z0-9])")
 _CHECKED = re.compile(r"(?<![A-Za-z0-9])gh[opsur]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
-_NAME = r"(?i:token|secret|passwd|password|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential)"
-_HEX = re.compile(_NAME + r"""["']?\s{0,4}[:=]\s{0,4}["']?((?:[0-9a-f]{2}){16,64}|(?:[0-9A-F]{2}){16,64})(?![0-9A-Za-z])""")
-_B64 = re.compile(_NAME + r"""["']?\s{0,4}[:=]\s{0,4}["']?([A-Za-z0-9+/_-]{22,512}={0,2})(?![A-Za-z0-9+/_=-])""")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/]{64,}={0,2}(?![A-Za-z0-9+/_=-])")
-_HEX_RUN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{2}){32,}(?![0-9A-Za-z])")
+#: Names of secrets, anywhere in an identifier of any length.
+_NAME = re.compile(r"(?i:token(?!i[sz])|secret|passwd|password|passphrase|api[_-]?key|(?:access|auth|private|signing|encryption|master|session|client|account)[_-]?key|credential)")
+_LAST = re.compile(r"(?i:token|secret|passwd|password|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential)$")
+#: What may stand between a name and its value; and words that may: prefixes of strings, types, schemes.
+_GAP = frozenset(" \t\r\n\x0b\f\"'`\\:=,>([{|])}?&")
+_IDENTIFIER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-.$")
+_BETWEEN = re.compile(r"(?i:[bruf]{1,2}|str|string|bytes|char|text|bearer|basic|token|new|is|optional|final)")
+#: Maximal runs, of any length and case.
+_HEX_RUN = re.compile(r"(?<![0-9A-Za-z])(?:0[xX])?((?:[0-9a-fA-F]{2}){16,}+)(?![0-9A-Za-z])")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{22,}+={0,2}+(?![A-Za-z0-9+/_=-])")
+#: Words joined by marks: names of files, settings and the like, which decode as base64 by chance.
+_WORDS = re.compile(r"(?:[a-z]++|[A-Z][a-z]++|[A-Z]++|[0-9]{1,4})(?:[/_+-]+(?:[a-z]++|[A-Z][a-z]++|[A-Z]++|[0-9]{1,4}))*[/_-]*=?")
+_DEK = re.compile(r"^DEK-Info:\s*([A-Za-z0-9-]+),([0-9A-Fa-f]+)\s*$", re.M)
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _ALGORITHMS = {"HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES384": 96, "ES512": 132, "EdDSA": 64}
 _KINDS = ("pem_private_key", "der_private_key", "signed_token", "access_key_id", "checksummed_token", "hex_secret", "base64_secret")
@@ -148,22 +156,91 @@ def checksum_fits(text: str) -> bool:
     return digits == text[-6:]
 
 
+def _pem_body(body: str) -> tuple[str, str]:
+    """(headers, the rest) of a PEM body: RFC 1421 headers end with an empty line."""
+    lines = [x.strip() for x in body.splitlines()]
+    tops = [k for k, x in enumerate(lines) if ":" in x]
+    if not tops:
+        return "", body
+    empty = next((k for k in range(tops[0], len(lines)) if not lines[k]), None)
+    if empty is None:
+        return "\n".join(lines[k] for k in tops), "\n".join(x for x in lines if ":" not in x)
+    return "\n".join(lines[:empty]), "\n".join(lines[empty:])
+
+
+def pem_encoding(body: str) -> str | None:
+    """Name of the private-key structure between the marks of a PEM text, or None.
+
+    The text may stand in a string with escapes, in quoted pieces, or behind the marks of a comment.
+    """
+    body = re.sub(r"\\+[nrt]", "\n", body).replace("\\/", "/")
+    forms = [body, re.sub(r"(?m)^[ \t]*(?:#|//|\*|>|;|--)+", "", body)]
+    if quoted := re.findall(r"""["']([^"']*)["']""", f'"{body}"'):
+        forms.append("\n".join(quoted))
+    for form in forms:
+        header, rest = _pem_body(form)
+        data = _decoded("".join(x for x in re.split(r"[\s\\]+", rest)))
+        if not data:
+            continue
+        if kind := key_encoding(data):
+            return kind
+        if dek := _DEK.search(header):  # enciphered as a whole: blocks of the size of the initial vector
+            block = len(dek[2]) // 2
+            if block in (8, 16) and len(dek[2]) % 2 == 0 and len(data) % block == 0:
+                return f"encrypted-{dek[1].lower()}"
+    return None
+
+
+def _named(text: str, start: int) -> str | None:
+    """The identifier with a secret's name to which the value at start is assigned, or None."""
+    at, bare = start, True
+    for _ in range(2):
+        end = at
+        while at and text[at - 1] in _GAP:
+            at -= 1
+        if at == end:
+            return None
+        gap = text[at:end]
+        bare = bare and not any(c in gap for c in ":=,>")
+        if bare and "\n" in gap:
+            return None
+        end = at
+        while at and text[at - 1] in _IDENTIFIER:
+            at -= 1
+        name = text[at:end]
+        if _NAME.search(name):
+            return name
+        if not _BETWEEN.fullmatch(name):
+            return None
+    return None
+
+
 def find_secrets(text: str | None) -> list[Finding]:
     """(start, end, kind, detail) of confirmed secrets in order; overlapping finds keep the first kind of _KINDS."""
     if not text:
         return []
     found: list[Finding] = []
-    for m in _PEM.finditer(text):
-        data = _decoded("".join(x for x in m[2].split() if ":" not in x))
-        if data is not None and (kind := key_encoding(data)):
-            found.append((m.start(), m.end(), _KINDS[0], kind))
+    begins = list(_PEM.finditer(text))
+    for k, m in enumerate(begins):
+        mark = f"-----END {m[1]}-----"
+        end = text.find(mark, m.end(), begins[k + 1].start() if k + 1 < len(begins) else len(text))
+        if end >= 0 and (kind := pem_encoding(text[m.end() : end])):
+            found.append((m.start(), end + len(mark), _KINDS[0], kind))
     for m in _RUN.finditer(text):
         data = _decoded(m[0])
-        if data is not None and (kind := key_encoding(data)):
+        if data is None:
+            continue
+        if kind := key_encoding(data):
             found.append((m.start(), m.end(), _KINDS[1], kind))
+        elif random_bytes(data) and not re.fullmatch("[0-9a-fA-F]+", m[0]) and (name := _named(text, m.start())):
+            if _LAST.search(name) or not _WORDS.fullmatch(m[0]):
+                found.append((m.start(), m.end(), _KINDS[6], f"{8 * len(data)} bits"))
     for m in _HEX_RUN.finditer(text):
-        if kind := key_encoding(bytes.fromhex(m[0])):
-            found.append((m.start(), m.end(), _KINDS[1], kind))
+        data = bytes.fromhex(m[1])
+        if kind := key_encoding(data):
+            found.append((m.start(1), m.end(1), _KINDS[1], kind))
+        elif random_bytes(data) and _named(text, m.start()):
+            found.append((m.start(1), m.end(1), _KINDS[5], f"{8 * len(data)} bits"))
     for m in _JWT.finditer(text):
         if kind := signed_token(m[0]):
             found.append((m.start(), m.end(), _KINDS[2], kind))
@@ -173,13 +250,6 @@ def find_secrets(text: str | None) -> list[Finding]:
     for m in _CHECKED.finditer(text):
         if checksum_fits(m[0]):
             found.append((m.start(), m.end(), _KINDS[4], m[0][:3]))
-    for m in _HEX.finditer(text):
-        if random_bytes(data := bytes.fromhex(m[1])):
-            found.append((m.start(1), m.end(1), _KINDS[5], f"{8 * len(data)} bits"))
-    for m in _B64.finditer(text):
-        data = _decoded(m[1])
-        if data is not None and random_bytes(data) and not re.fullmatch("[0-9a-fA-F]+", m[1]):
-            found.append((m.start(1), m.end(1), _KINDS[6], f"{8 * len(data)} bits"))
     kept: list[Finding] = []
     for x in sorted(found, key=lambda x: (_KINDS.index(x[2]), x[0])):
         if all(x[1] <= y[0] or y[1] <= x[0] for y in kept):

@@ -89,3 +89,26 @@ def test_tables(spark, odd, none, docs_of):
     assert masked[1]["text"] == 'token = "[hex_secret]"' and masked[1]["n_chars"] == 22 and masked[0]["text"] == "clean text" and masked[2]["text"] is None and masked[4]["text"].endswith('"[hex_secret]"')
     assert scan_secrets(odd).count() == 0 and scan_secrets(none).count() == 0
     assert sorted(map(repr, redact_secrets(odd).collect())) == sorted(map(repr, odd.collect())) and redact_secrets(none).count() == 0
+
+
+def test_values_of_any_length_case_and_name():
+    long_hex, mixed = R.randbytes(300).hex(), "aB" + R.randbytes(31).hex()
+    long_b64 = base64.b64encode(R.randbytes(900)).decode()
+    key = base64.b64encode(R.randbytes(48)).decode()
+    for name in ("token", "SECRET_KEY", "aws_secret_access_key_id_of_the_second_account"):
+        for value, kind in ((long_hex, "hex_secret"), (mixed, "hex_secret"), (long_b64, "base64_secret"), (key, "base64_secret")):
+            for text in (f'{name} = "{value}"', f"{name}={value}", f'config["{name}"]          =          b"{value}"', f'{{\\"{name}\\": \\"{value}\\"}}', f"{name}: str = '{value}'"):
+                found = find_secrets(f"é {text} x")
+                assert [f[2] for f in found] == [kind] and f"é {text} x"[found[0][0] : found[0][1]] == value, text
+    assert find_secrets(f'tokenizer_sha256 = "{HEX}"') == [] and find_secrets("secret_name_of = my-application-production-database") == []
+
+
+def test_pem_with_escapes_and_headers():
+    text = json.dumps({"type": "service_account", "private_key": pem(PKCS8, "PRIVATE KEY") + "\n"})
+    assert "\\n" in text and [f[2:] for f in find_secrets(text)] == [("pem_private_key", "pkcs8")] and "MII" not in redact(text)
+    sealed = base64.encodebytes(R.randbytes(608)).decode()
+    head = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    text = head + sealed + "-----END RSA PRIVATE KEY-----"
+    assert [f[2:] for f in find_secrets(text)] == [("pem_private_key", "encrypted-aes-128-cbc")]
+    assert find_secrets(head + base64.b64encode(R.randbytes(605)).decode() + "\n-----END RSA PRIVATE KEY-----") == []
+    assert find_secrets(pem(RSA, "RSA PRIVATE KEY").replace("KEY-----\n", "KEY-----\nComment: a-b\n\n", 1))[0][3] == "pkcs1-rsa-1024"
