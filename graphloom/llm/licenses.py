@@ -8,8 +8,10 @@ diagonal decides, giving coverage and span.
 
 from __future__ import annotations
 
+import pkgutil
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,10 @@ from graphloom.llm.kernel import Words, gram_hashes, word_slices, words_of
 #: equal words always shares a fingerprint.
 GRAM, WINDOW = 3, 3
 
-#: Notices by identifier. A longer licence is found by its characteristic notice.
+#: Templates of more words than this are aligned a row at a time by array operations.
+LONG = 60
+
+#: One-line notices by identifier; NOTICES has the standard notices, and full_texts() the licences themselves.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("MIT", "Released under the MIT License"),
@@ -45,6 +50,52 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
 
+_FSF = (
+    "This {what} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, "
+    "either version {n} of the License, or (at your option) any later version. This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+    "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details."
+)
+_FSF_SHORT = "free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {n} of the License, or (at your option) any later version"
+_FSF_ONLY = "free software; you can redistribute it and/or modify it under the terms of the {name} version {n} as published by the Free Software Foundation"
+_GNU = (
+    ("GPL-1.0", "GNU General Public License", "1"), ("GPL-2.0", "GNU General Public License", "2"), ("GPL-3.0", "GNU General Public License", "3"),
+    ("LGPL-2.0", "GNU Library General Public License", "2"), ("LGPL-2.1", "GNU Lesser General Public License", "2.1"), ("LGPL-3.0", "GNU Lesser General Public License", "3"),
+    ("AGPL-3.0", "GNU Affero General Public License", "3"),
+)
+_CC = (
+    ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"),
+    ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+)
+_CC_VERSIONS = (("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"), ("2.0", "Generic"))
+
+#: Notices that licences ask for, by identifier.
+NOTICES: tuple[tuple[str, str], ...] = (
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    *((k, _FSF.format(what=what, name=name, n=n)) for k, name, n in _GNU for what in ("program", "library")),
+    *((k, form.format(name=name, n=n)) for k, name, n in _GNU for form in (_FSF_SHORT, _FSF_ONLY)),
+    *((f"CC-{k}-{v}", f"This work is licensed under a Creative Commons {name} {v} {where} License") for k, name in _CC for v, where in _CC_VERSIONS),
+    *((f"CC-{k}-{v}", f"licensed under the Creative Commons {name} {v} {where} License") for k, name in _CC for v, where in _CC_VERSIONS),
+    # The legal code of 4.0 states its name in this sentence.
+    *((f"CC-{k}-4.0", f'By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons {name} 4.0 International Public License ("Public License")') for k, name in _CC),
+)
+_TEXTS = (
+    "AGPL-3.0", "Apache-2.0", "Artistic-1.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0",
+    "ISC", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-1.1", "MPL-2.0", "Unlicense",
+)
+
+
+@cache
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """Whole licences by identifier, from the files of license_texts."""
+    return tuple((k, (pkgutil.get_data(__package__, f"license_texts/{k}.txt") or b"").decode()) for k in _TEXTS)
+
+
+@cache
+def all_templates() -> tuple[tuple[str, str], ...]:
+    """One-line notices, standard notices and whole licences, in this order."""
+    return TEMPLATES + NOTICES + full_texts()
+
 
 def winnow(words: np.ndarray, first: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(positions, fingerprints): the rightmost least run in every window of runs that stays in one text.
@@ -77,6 +128,7 @@ class Index:
     prints: np.ndarray
     template: np.ndarray
     position: np.ndarray
+    bags: tuple[tuple[np.ndarray, np.ndarray], ...]  # the different words of each template and how often each occurs
 
 
 def build_index(templates: Sequence[tuple[str, str]]) -> Index:
@@ -92,7 +144,15 @@ def build_index(templates: Sequence[tuple[str, str]]) -> Index:
         rows += [(int(x), k, int(p)) for x, p in zip(h, at, strict=True)]
     rows.sort()
     prints, template, position = zip(*rows, strict=True)
-    return Index(tuple(n for n, _ in templates), tuple(words), np.array(prints, np.uint64), np.array(template), np.array(position))
+    bags = tuple(np.unique(w, return_counts=True) for w in words)
+    return Index(tuple(n for n, _ in templates), tuple(words), np.array(prints, np.uint64), np.array(template), np.array(position), bags)
+
+
+def shared_words(bag: tuple[np.ndarray, np.ndarray], doc: np.ndarray) -> int:
+    """Words that template and document have in common, whatever their order: no alignment matches more."""
+    words, counts = bag
+    at = np.minimum(np.searchsorted(words, doc), len(words) - 1)
+    return int(np.minimum(np.bincount(at[words[at] == doc], minlength=len(words)), counts).sum())
 
 
 def align(template: np.ndarray, doc: np.ndarray, low: int, high: int) -> tuple[int, int, int, int]:
@@ -122,6 +182,38 @@ def align(template: np.ndarray, doc: np.ndarray, low: int, high: int) -> tuple[i
     return (row[end][0], row[end][1], row[end][2], end) if end >= 0 else (-(10**9), 0, 0, 0)
 
 
+def align_rows(template: np.ndarray, doc: np.ndarray, low: int, high: int) -> tuple[int, int, int, int]:
+    """align() with a row of cells at a time, for long templates."""
+    n, m, none = len(template), len(doc), -(10**9)
+    a, b = max(0, low), min(m, high)
+    if b < a:
+        return none, 0, 0, 0
+    score, matched, start = np.full(m + 2, none), np.zeros(m + 2, np.int64), np.zeros(m + 2, np.int64)  # of cell j at j + 1
+    score[a + 1 : b + 2] = 0
+    start[a + 1 : b + 2] = np.arange(a, b + 1)
+    place = np.arange(m + 1)
+    words = np.concatenate([doc[:1], doc])  # the word that ends at j
+    for i in range(1, n + 1):
+        before, a, b = a, max(0, i + low), min(m, i + high)
+        if b < a:
+            return none, 0, 0, 0
+        equal = words[a : b + 1] == template[i - 1]
+        best = score[a : b + 1] + np.where(equal, 2, -1)
+        skip = score[a + 1 : b + 2] - 1
+        up = skip > best
+        best = np.where(up, skip, best)
+        k = np.where(up, matched[a + 1 : b + 2], matched[a : b + 1] + equal)
+        s = np.where(up, start[a + 1 : b + 2], start[a : b + 1])
+        raised = best + place[: b + 1 - a]
+        top = np.maximum.accumulate(raised)
+        source = np.maximum.accumulate(np.where(raised == top, place[: b + 1 - a], 0))
+        score[a + 1 : b + 2], matched[a + 1 : b + 2], start[a + 1 : b + 2] = top - place[: b + 1 - a], k[source], s[source]
+        if a > before:
+            score[a] = none
+    end = a + int(np.argmax(score[a + 1 : b + 2]))
+    return int(score[end + 1]), int(matched[end + 1]), int(start[end + 1]), end
+
+
 def _trimmed(template: np.ndarray, doc: np.ndarray, start: int, end: int) -> tuple[int, int]:
     """The span without words at its ends that the template lacks."""
     known = np.flatnonzero(np.isin(doc[start:end], template))
@@ -138,6 +230,9 @@ def matches(doc: np.ndarray, positions: np.ndarray, prints: np.ndarray, index: I
     found = []
     for t, diagonals in hits.items():
         template = index.words[t]
+        long = len(template) > LONG
+        if long and (len(doc) < coverage * len(template) or shared_words(index.bags[t], doc) < coverage * len(template)):
+            continue
         band = max(3, len(template) // 4)
         diagonals = sorted(set(diagonals))
         while diagonals:
@@ -145,7 +240,9 @@ def matches(doc: np.ndarray, positions: np.ndarray, prints: np.ndarray, index: I
             diagonals = diagonals[len(group) :]
             base = max(0, group[0] - band)
             piece = doc[base : group[-1] + len(template) + 2 * band]
-            score, matched, start, end = align(template, piece, group[0] - band - base, group[-1] + band - base)
+            if long and shared_words(index.bags[t], piece) < coverage * len(template):
+                continue
+            score, matched, start, end = (align_rows if long else align)(template, piece, group[0] - band - base, group[-1] + band - base)
             if matched >= coverage * len(template):
                 start, end = _trimmed(template, piece, start, end)
                 found.append((t, base + start, base + end, matched, score))
@@ -161,9 +258,10 @@ def _characters(w: Words, low: int, byte: int) -> int:
     return int(np.count_nonzero((w.buf[low:byte] & 0xC0) != 0x80))
 
 
-def scan_licenses(docs: DataFrame, *, templates: Sequence[tuple[str, str]] = TEMPLATES, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, *, templates: Sequence[tuple[str, str]] | None = None, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, license, template_no, coverage_percent, matched_words, start_char, end_char) for every licence found.
 
+    templates: (identifier, text) pairs; without them, all_templates().
     coverage: least part of a template's words that the alignment must match, in order. Where the spans of
     several templates overlap, the one of highest score counts, then the earliest and the first listed.
     The index is built from the templates alone and has their size, whatever the documents.
@@ -171,9 +269,9 @@ def scan_licenses(docs: DataFrame, *, templates: Sequence[tuple[str, str]] = TEM
     Null and empty texts have none; a null id is carried along; repeated rows are reported as often as
     they occur; other columns are unused.
     """
-    index = build_index(templates)
-    small = np.zeros(1 << 16, bool)
-    small[(index.prints & np.uint64(0xFFFF)).astype(np.int64)] = True
+    index = build_index(all_templates() if templates is None else templates)
+    small = np.zeros(1 << 20, bool)
+    small[(index.prints & np.uint64(0xFFFFF)).astype(np.int64)] = True
     names = [id_col, "license", "template_no", "coverage_percent", "matched_words", "start_char", "end_char"]
     kinds = [T.StringType(), *[T.LongType()] * 5]
     schema = T.StructType([T.StructField(n, k) for n, k in zip(names, [docs.schema[id_col].dataType, *kinds], strict=True)])
@@ -183,7 +281,7 @@ def scan_licenses(docs: DataFrame, *, templates: Sequence[tuple[str, str]] = TEM
             rows: list[tuple] = []
             for base, w in word_slices(batch.column(1), folded=True):
                 at, h = winnow(w.hashes, w.first)
-                near = np.flatnonzero(small[(h & np.uint64(0xFFFF)).astype(np.int64)])
+                near = np.flatnonzero(small[(h & np.uint64(0xFFFFF)).astype(np.int64)])
                 near = near[np.isin(h[near], index.prints)]
                 if not len(near):
                     continue

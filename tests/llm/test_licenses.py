@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from graphloom.llm.kernel import words_of
-from graphloom.llm.licenses import TEMPLATES, align, build_index, scan_licenses, winnow
+from graphloom.llm.licenses import TEMPLATES, align, align_rows, build_index, full_texts, scan_licenses, winnow
 from tests.llm.conftest import prose
 
 
@@ -56,3 +56,37 @@ def test_notices_with_changes_are_found_as_brute_force_finds_them(spark, odd, no
     assert texts[1][mit["start_char"] : mit["end_char"]] == "Released under the MIT License" and mit["coverage_percent"] == 100
     assert scan_licenses(odd).count() == 0 and scan_licenses(none).count() == 0
     assert scan_licenses(docs_of(["Released under the MIT License. " * 2 + "Licensed under CC BY-NC 4.0."])).count() == 3
+
+
+def test_rows_of_cells_align_as_cells_do():
+    r = random.Random(8)
+    for _ in range(200):
+        t, d = (np.array([r.randrange(4) for _ in range(r.randrange(1, 12))], np.uint64) for _ in range(2))
+        low, high = sorted((r.randrange(-6, 8), r.randrange(-6, 8)))
+        want = align(t, d, low, high)
+        assert align_rows(t, d, low, high) == want or want[0] < -(10**8)  # no cell in the band
+
+
+def test_whole_licences_and_standard_notices(spark, docs_of):
+    r = random.Random(6)
+    texts, want = [], []
+    for name, text in full_texts():
+        words = text.split(" ")
+        for _ in range(len(words) // 50):
+            words[r.randrange(3, len(words) - 3)] = "changed"
+        texts.append(f"{prose(r, 40)} \n{' '.join(words)}\n {prose(r, 40)}")
+        want.append([(name, len(texts[-1]) // 100 * 90)])
+    fsf = "foo is free software: you can redistribute it and/or modify\n# it under the terms of the GNU {}General Public License as published by\n# the Free Software Foundation, either version {} of the License, or\n# (at your option) any later version."
+    notices = [
+        ("GPL-3.0", fsf.format("", 3)), ("GPL-2.0", fsf.format("", 2)), ("LGPL-2.1", fsf.format("Lesser ", 2.1)), ("AGPL-3.0", fsf.format("Affero ", 3)),
+        ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+        ("CC-BY-NC-SA-3.0", "It is licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License."),
+    ]
+    for name, text in notices:
+        texts.append(f"{prose(r, 20)} {text} {prose(r, 20)}")
+        want.append([(name, 40)])
+    got = {}
+    for x in scan_licenses(docs_of(texts)).collect():
+        got.setdefault(x["doc_id"], []).append((x["license"], x["end_char"] - x["start_char"]))
+    for i, ((name, least),) in enumerate(want):
+        assert [k for k, _ in got[i]] == [name] and got[i][0][1] > min(least, len(texts[i]) - 800), (name, got[i])
