@@ -6,18 +6,28 @@ deadline). Earliest deadline first over these windows always succeeds on one seq
 source then never departs from its target by a whole block in any prefix. The schedule repeats after Q
 slots, so the driver computes one period from the weights alone; every block's slot follows from its
 number by arithmetic, on executors.
+
+Sources whose weight a period can't tell form a tail. The tail is one more task, of exactly their summed
+weight W: its block j has slot floor(j / W), and the other tasks keep their order in the slots between.
+Inside, document p of a source of weight w is due at (p + u) / w, with a phase u of the source; the tail
+is all documents in that order, so no weight in it is rounded.
 """
 
 from __future__ import annotations
 
 import heapq
-from math import gcd
+import zlib
+from math import floor, gcd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The schedule of one period is made on the driver; more sources than this are refused, not cut.
 MAX_SOURCES = 1_000_000
+#: Most that rounding to units may change a weight, as a part of it; sources beyond it are the tail.
+ROUNDING = 0.01
+#: Numerator of the tail's share, whose denominator then has at least its precision.
+TAIL_UNITS = 100_000
 
 
 def pfair_period(units: list[int]) -> list[list[int]]:
@@ -50,7 +60,10 @@ def tempered_shares(counts: dict[str, int], most_epochs: float) -> dict[str, flo
 
 
 def quantised(shares: dict[str, float], resolution: int) -> tuple[dict[str, str], dict[str, int]]:
-    """(source -> task, task -> units): sources of less than one unit join the smallest task that has one."""
+    """(source -> task, task -> units): sources of less than one unit join the smallest task that has one.
+
+    mix_sources() doesn't use it, since such sources lose their weights; see split_tail().
+    """
     total = sum(shares.values())
     units = {k: round(resolution * s / total) for k, s in shares.items()}
     tasks = {k: u for k, u in units.items() if u > 0}
@@ -61,6 +74,20 @@ def quantised(shares: dict[str, float], resolution: int) -> tuple[dict[str, str]
     return {k: k if k in tasks else smallest for k in shares}, {k: u // divisor for k, u in tasks.items()}
 
 
+def split_tail(shares: dict[str, float], resolution: int) -> tuple[dict[str, int], list[str]]:
+    """(units of the sources that resolution can tell, sources of the tail)."""
+    total = sum(shares.values())
+    exact = {k: resolution * s / total for k, s in shares.items()}
+    units = {k: round(x) for k, x in exact.items() if round(x) and abs(round(x) - x) <= ROUNDING * x}
+    divisor = gcd(*units.values()) if units else 1
+    return {k: u // divisor for k, u in units.items()}, [k for k in shares if k not in units]
+
+
+def _phase(key: str) -> float:
+    """Between 0 and 1, by source."""
+    return (zlib.crc32(key.encode()) + 0.5) / 2**32
+
+
 def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
 
@@ -83,7 +110,9 @@ def mix_sources(
     The mixture ends with the slot in which the last source has given all its blocks once; sources that
     are through earlier begin again (epoch 1, 2, ...), so no document of a weighted source is lost and in
     every prefix of whole slots each source holds its weight to less than one block. A source's last
-    block may be short. Sources of under 1/resolution share a task with the smallest other one.
+    block may be short. Sources whose weight 1/resolution can't tell to ROUNDING are a task together, of
+    their summed weight, named by the source if it is one and else "(tail)"; within it each has its own
+    weight to about a document, so beside a tail the deviation is less than two blocks.
 
     Returns the columns of docs and `mix_task`, `mix_block` (number of the block in its task, over all
     epochs), `mix_epoch`, `mix_release`, `mix_deadline`, `mix_slot`, `mix_rank` (place in the block);
@@ -104,28 +133,44 @@ def mix_sources(
     else:
         named = {"null" if k is None else f"={k}": w for k, w in weights.items()}
         shares = {k: named[k] for k in found if named.get(k, 0) > 0}
-    task_of, units = quantised(shares, resolution) if shares else ({}, {})
+    units, tail = split_tail(shares, resolution) if shares else ({}, [])
     tasks = sorted(units)
     slots = dict(zip(tasks, pfair_period([units[k] for k in tasks]), strict=True))
     period = sum(units.values())
-    docs_in = {k: sum(n for s, n in found.items() if task_of.get(s) == k) for k in tasks}
-    blocks = {k: -(-n // block_docs) for k, n in docs_in.items()}
+    blocks = {k: -(-found[k] // block_docs) for k in tasks}
+    tail_share = sum(shares[k] for k in tail)
+    # The tail's share of the slots is ta / tb; all of them if there is nothing else.
+    ta = TAIL_UNITS if tail and tasks else 1 if tail else 0
+    tb = max(ta + 1, round(ta * sum(shares.values()) / tail_share)) if tail and tasks else 1
 
     def slot(k: str, j: int) -> int:
         return j // units[k] * period + slots[k][j % units[k]]
 
-    horizon = max((slot(k, blocks[k] - 1) + 1 for k in tasks), default=0)
+    def outer(s: int) -> int:
+        """Slot of the mixture for the slot s of the other tasks."""
+        return s + -(-ta * (s + 1) // (tb - ta)) if ta else s
+
+    horizon = max((outer(slot(k, blocks[k] - 1)) + 1 for k in tasks), default=0)
+    if tail:
+        weight = {k: shares[k] / tail_share for k in tail}
+        through = max(found[k] / weight[k] for k in tail)
+        due = sum(floor(through * weight[k] - _phase(k)) + 1 for k in tail)
+        horizon = max(horizon, (-(-due // block_docs) - 1) * tb // ta + 1)
+    tail_placed = -(-horizon * ta // tb)
+    inner = horizon - tail_placed
 
     def placed(k: str) -> int:
-        whole, rest = divmod(horizon, period)
+        whole, rest = divmod(inner, period)
         return whole * units[k] + sum(s < rest for s in slots[k])
 
+    buckets = {k: max(1, -(-found[k] // bucket_docs)) for k in shares}
     plan = spark.createDataFrame(
-        [(s, k, units[k], slots[k], blocks[k], placed(k), max(1, -(-docs_in[k] // bucket_docs))) for s, k in task_of.items()],
+        [(k, k, units[k], slots[k], blocks[k], placed(k), buckets[k]) for k in tasks],
         "mix_key string, mix_task string, mix_p long, mix_slots array<long>, mix_blocks long, mix_placed long, mix_buckets long",
     )
+    everyone = spark.createDataFrame([(k, k, buckets[k]) for k in shares], "mix_key string, mix_task string, mix_buckets long")
     # One row a source, a slot a unit: of bounded size, so it goes to every executor. The slots join after the shuffles.
-    keyed = keyed.join(F.broadcast(plan.select("mix_key", "mix_task", "mix_buckets")), "mix_key")
+    keyed = keyed.join(F.broadcast(everyone), "mix_key")
     keyed = keyed.withColumn("mix_h", F.xxhash64(F.col(id_col).cast("string"))).withColumn("mix_bucket", F.pmod("mix_h", "mix_buckets"))
     # Numbers within a task without one partition for it: count buckets, sum the counts, number within buckets.
     counts = keyed.groupBy("mix_task", "mix_bucket").agg(F.count("*").alias("mix_n"))
@@ -136,24 +181,65 @@ def mix_sources(
     )
     within = F.row_number().over(Window.partitionBy("mix_task", "mix_bucket").orderBy("mix_h", F.col(id_col)))
     number = F.col("mix_before") + F.col("mix_number") - 1
-    numbered = (
-        keyed.withColumn("mix_number", within)
-        .join(before, ["mix_task", "mix_bucket"])
-        .withColumn("mix_first", F.floor(number / block_docs))
-        .withColumn("mix_rank", number % block_docs)
+    numbered = keyed.withColumn("mix_number", within).join(before, ["mix_task", "mix_bucket"]).withColumn("mix_number", number).drop("mix_key")
+    main = (
+        numbered.withColumn("mix_first", F.floor(F.col("mix_number") / block_docs))
+        .withColumn("mix_rank", F.col("mix_number") % block_docs)
+        .join(F.broadcast(plan.drop("mix_key", "mix_buckets")), "mix_task")
     )
-    numbered = numbered.drop("mix_key").join(F.broadcast(plan.drop("mix_key", "mix_buckets").distinct()), "mix_task")
-    epochs = numbered.where("mix_first < mix_placed").withColumn(
+    epochs = main.where("mix_first < mix_placed").withColumn(
         "mix_epoch", F.explode(F.expr("sequence(0L, (mix_placed - 1 - mix_first) div mix_blocks)"))
     )
     j = F.col("mix_block")
-    return epochs.withColumn("mix_block", F.col("mix_first") + F.col("mix_epoch") * F.col("mix_blocks")).select(
+
+    def outwards(slot: Column) -> Column:
+        if not ta:
+            return slot
+        return F.call_function("div", (slot + 1) * F.lit(ta) + F.lit(tb - ta - 1), F.lit(tb - ta)) + slot
+
+    result = epochs.withColumn("mix_block", F.col("mix_first") + F.col("mix_epoch") * F.col("mix_blocks")).select(
         *out,
         F.expr("if(mix_task = 'null', null, substring(mix_task, 2))").alias("mix_task"),
         "mix_block",
         "mix_epoch",
-        F.expr(f"mix_block * {period}L div mix_p").alias("mix_release"),
-        F.expr(f"((mix_block + 1) * {period}L + mix_p - 1) div mix_p").alias("mix_deadline"),
-        (F.expr(f"mix_block div mix_p * {period}L") + F.get(F.col("mix_slots"), (j % F.col("mix_p")).cast("int"))).alias("mix_slot"),
+        outwards(F.expr(f"mix_block * {period}L div mix_p")).alias("mix_release"),
+        (outwards(F.expr(f"((mix_block + 1) * {period}L + mix_p - 1) div mix_p") - 1) + 1).alias("mix_deadline"),
+        outwards(F.expr(f"mix_block div mix_p * {period}L") + F.get(F.col("mix_slots"), (j % F.col("mix_p")).cast("int"))).alias("mix_slot"),
         "mix_rank",
     )
+    if not tail:
+        return result
+    # Up to this time at least tail_placed blocks are due, since each source has less than one document fewer than its weight gives.
+    until = tail_placed * block_docs + len(tail)
+    dues = spark.createDataFrame([(k, weight[k], _phase(k), found[k]) for k in tail], "mix_task string, mix_w double, mix_u double, mix_n long")
+    copies = (
+        numbered.join(F.broadcast(dues), "mix_task")
+        .withColumn("mix_most", F.floor((F.lit(float(until)) * F.col("mix_w") - F.col("mix_u") - F.col("mix_number")) / F.col("mix_n")))
+        .where("mix_most >= 0")
+        .withColumn("mix_epoch", F.explode(F.expr("sequence(0L, mix_most)")))
+        .withColumn("mix_due", (F.col("mix_number") + F.col("mix_epoch") * F.col("mix_n") + F.col("mix_u")) / F.col("mix_w"))
+        .withColumn("mix_part", F.floor(F.col("mix_due") / bucket_docs))
+        .drop("mix_before")
+    )
+    parts = copies.groupBy("mix_part").agg(F.count("*").alias("mix_c"))
+    earlier = parts.select("mix_part", (F.sum("mix_c").over(Window.partitionBy(F.lit(0)).orderBy("mix_part")) - F.col("mix_c")).alias("mix_before"))
+    place = F.row_number().over(Window.partitionBy("mix_part").orderBy("mix_due", "mix_task", "mix_number"))
+    name = F.lit(None if tail == ["null"] else tail[0][1:] if len(tail) == 1 else "(tail)").cast("string")
+    rest = (
+        copies.withColumn("mix_place", place.cast("long"))
+        .join(earlier, "mix_part")
+        .withColumn("mix_place", F.col("mix_before") + F.col("mix_place") - 1)
+        .where(F.col("mix_place") < tail_placed * block_docs)
+        .withColumn("mix_block", F.expr(f"mix_place div {block_docs}"))
+        .select(
+            *out,
+            name.alias("mix_task"),
+            "mix_block",
+            "mix_epoch",
+            F.expr(f"mix_block * {tb}L div {ta}L").alias("mix_release"),
+            F.expr(f"((mix_block + 1) * {tb}L + {ta - 1}L) div {ta}L").alias("mix_deadline"),
+            F.expr(f"mix_block * {tb}L div {ta}L").alias("mix_slot"),
+            (F.col("mix_place") % block_docs).alias("mix_rank"),
+        )
+    )
+    return result.unionByName(rest) if tasks else rest

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from graphloom.llm.mixing import mix_sources, pfair_period, quantised
+from graphloom.llm.mixing import mix_sources, pfair_period, quantised, tempered_shares
 
 
 @settings(max_examples=80, deadline=None)
@@ -56,3 +56,29 @@ def test_odd_rows(spark, odd, none):
     assert mix_sources(none).count() == 0 and mix_sources(odd, {"none such": 1.0}).count() == 0
     only = mix_sources(odd, {None: 1.0}, block_docs=1).collect()
     assert len(only) == 2 and {r["source"] for r in only} == {None}
+
+
+@pytest.mark.parametrize("hot, few, docs", [(4000, 300, 2), (6000, 400, 1), (0, 500, 3)])
+def test_a_long_tail_keeps_its_weights(spark, hot, few, docs):
+    sizes = ({"hot": hot} if hot else {}) | {f"t{i}": docs + i % 2 for i in range(few)}
+    rows = [(100_000 * k + i, s) for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
+    table = spark.createDataFrame(rows, "doc_id long, source string")
+    shares = tempered_shares(sizes, 4.0)
+    got = mix_sources(table, block_docs=8, resolution=1000, bucket_docs=500).collect()
+    assert {r["doc_id"] for r in got} == {i for i, _ in rows}
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["mix_slot"]].append(r)
+        assert r["mix_release"] <= r["mix_slot"] < r["mix_deadline"]
+    assert sorted(slots) == list(range(len(slots)))
+    assert all(sorted(r["mix_rank"] for r in x) == list(range(len(x))) and len({(r["mix_task"], r["mix_block"]) for r in x}) == 1 for x in slots.values())
+    counts, total = Counter(), sum(shares.values())
+    for t in range(len(slots)):
+        counts.update(r["source"] for r in slots[t])
+        if t % 100 == 99:
+            docs_so_far = sum(counts.values())
+            if hot:  # to two blocks, and the rounding that is stated
+                want = docs_so_far * shares["hot"] / total
+                assert abs(counts["hot"] - want) <= 16 + 0.01 * want
+            assert all(abs(counts[s] - docs_so_far * shares[s] / total) < 3 for s in sizes if s != "hot")
+    assert max(Counter(r["doc_id"] for r in got).values()) <= 6
