@@ -76,15 +76,32 @@ class _Buffered:
         self.buf, self.at = self.buf[self.at :] + more, 0
         return bool(more)
 
-    def line(self, most: int = 1 << 16) -> bytes:
-        """Through the next line feed; the rest at the end. Longer lines are an error."""
-        while (end := self.buf.find(b"\n", self.at)) < 0 and len(self.buf) - self.at <= most and self._fill():
+    def line(self) -> bytes:
+        """Through the next line feed, whatever its length; the rest at the end."""
+        parts = []
+        while True:
+            end = self.buf.find(b"\n", self.at)
+            parts.append(self.buf[self.at : end + 1] if end >= 0 else self.buf[self.at :])
+            self.at = end + 1 if end >= 0 else len(self.buf)
+            if end >= 0 or not self._fill():
+                return b"".join(parts)
+
+    def skip_line(self) -> None:
+        """Past the next line feed, without keeping what is before it."""
+        while (end := self.buf.find(b"\n", self.at)) < 0:
+            self.at = len(self.buf)
+            if not self._fill():
+                return
+        self.at = end + 1
+
+    def starts(self, mark: bytes) -> bool:
+        """Whether mark comes next."""
+        while len(self.buf) - self.at < len(mark) and self._fill():
             pass
-        end = end + 1 if end >= 0 else len(self.buf)
-        if end - self.at > most:
-            raise ValueError("a header line is too long")
-        out, self.at = self.buf[self.at : end], end
-        return out
+        return self.buf.startswith(mark, self.at)
+
+    def ended(self) -> bool:
+        return self.at == len(self.buf) and not self._fill()
 
     def piece(self, n: int) -> bytes:
         """n bytes, or fewer at the end of the stream."""
@@ -104,63 +121,80 @@ def _claimed(header: dict[str, str]) -> tuple[str, str] | None:
 def records(raw: BinaryIO, chunk_bytes: int = CHUNK) -> Iterator[dict]:
     """Chunk rows of a WARC stream, plain or gzipped.
 
-    A record without payload has one row of no bytes. A damaged or cut-off rest ends the stream with a
-    row whose `error` says why; what came before it stays.
+    A record without payload has one row of no bytes. A faulty record has a row whose `error` says why;
+    reading goes on at the next line that begins with WARC/. What is cut off, or can't be decompressed,
+    ends the stream with such a row; what came before it stays.
     """
     number, row = -1, {}
     try:
         stream = _Buffered(_Members(raw))
         while True:
-            version = stream.line()
-            while version in (b"\r\n", b"\n"):
-                version = stream.line()
-            if not version:
+            while stream.starts(b"\r\n") or stream.starts(b"\n"):
+                stream.line()
+            if stream.ended():
                 return
             number += 1
             row = {"record_no": number, "chunk_no": 0, "byte_offset": 0, "n_bytes": 0, "is_last": True}
-            if not version.startswith(b"WARC/"):
-                raise ValueError("no WARC version where a record should begin")
-            header: dict[str, str] = {}
-            last = None
-            while (line := stream.line()) not in (b"\r\n", b"\n"):
-                if not line:
-                    raise EOFError("the header is cut off")
-                if line[:1] in b" \t" and last:
-                    header[last] += " " + line.decode("utf-8", "replace").strip()
-                    continue
-                name, _, value = line.decode("utf-8", "replace").partition(":")
-                last = name.strip().lower()
-                header[last] = value.strip()
-            size = int(header.get("content-length", ""))
-            row |= {
-                "record_id": header.get("warc-record-id", "").strip("<>") or None, "warc_type": header.get("warc-type"),
-                "target_uri": header.get("warc-target-uri"), "content_type": header.get("content-type"), "content_length": size,
-            }
-            sums, claimed, at, k = hashlib.sha256(), _claimed(header), 0, 0
-            other = hashlib.new(claimed[0], usedforsecurity=False) if claimed and claimed[0] != "sha256" else None
-            while True:
-                piece = stream.piece(min(chunk_bytes, size - at))
-                if len(piece) < min(chunk_bytes, size - at):
-                    row |= {"chunk_no": k, "byte_offset": at}
-                    raise EOFError("the payload is cut off")
-                sums.update(piece)
-                if other:
-                    other.update(piece)
-                end = at + len(piece) == size
-                digest = sums.hexdigest()
-                ok = None if not (end and claimed) else (other.hexdigest() if other else digest) == claimed[1]
-                yield row | {"chunk_no": k, "byte_offset": at, "n_bytes": len(piece), "is_last": end, "sha256": digest, "digest_ok": ok, "payload": piece}
-                at, k = at + len(piece), k + 1
-                if end:
-                    break
-            if stream.piece(4) != b"\r\n\r\n":
-                number += 1
-                row = {"record_no": number, "chunk_no": 0, "byte_offset": 0, "n_bytes": 0, "is_last": True}
-                raise ValueError("no end of record after the payload")
-    except (ValueError, EOFError, zlib.error) as e:
+            try:
+                yield from _record(stream, row, chunk_bytes)
+            except ValueError as e:
+                yield row | {"error": str(e), "n_bytes": 0, "is_last": True}
+                while not stream.starts(b"WARC/"):
+                    stream.skip_line()
+                    if stream.ended():
+                        return
+    except (EOFError, zlib.error) as e:
         yield row | {"error": str(e), "n_bytes": 0, "is_last": True}
 
 
+def _record(stream: _Buffered, row: dict, chunk_bytes: int) -> Iterator[dict]:
+    """Chunk rows of the record that comes next; row is filled with what its header says."""
+    if not stream.starts(b"WARC/"):
+        raise ValueError("no WARC version where a record should begin")
+    stream.line()
+    header: dict[str, list[str]] = {}
+    last = None
+    while (line := stream.line()) not in (b"\r\n", b"\n"):
+        if not line:
+            raise EOFError("the header is cut off")
+        if line[:1] in b" \t" and last:
+            header[last].append(line.decode("utf-8", "replace").strip())
+            continue
+        name, _, value = line.decode("utf-8", "replace").partition(":")
+        last = name.strip().lower()
+        header[last] = [value.strip()]
+    fields = {k: " ".join(v) for k, v in header.items()}
+    row |= {
+        "record_id": fields.get("warc-record-id", "").strip("<>") or None, "warc_type": fields.get("warc-type"),
+        "target_uri": fields.get("warc-target-uri"), "content_type": fields.get("content-type"),
+    }
+    length = fields.get("content-length", "")
+    if not (length.isascii() and length.isdigit()):
+        raise ValueError("no length of content in the header")
+    row["content_length"] = size = int(length)
+    sums, claimed, at, k = hashlib.sha256(), _claimed(fields), 0, 0
+    other = hashlib.new(claimed[0], usedforsecurity=False) if claimed and claimed[0] != "sha256" else None
+    while True:
+        piece = stream.piece(min(chunk_bytes, size - at))
+        if len(piece) < min(chunk_bytes, size - at):
+            row |= {"chunk_no": k, "byte_offset": at}
+            raise EOFError("the payload is cut off")
+        sums.update(piece)
+        if other:
+            other.update(piece)
+        end = at + len(piece) == size
+        digest = sums.hexdigest()
+        ok = None if not (end and claimed) else (other.hexdigest() if other else digest) == claimed[1]
+        yield row | {"chunk_no": k, "byte_offset": at, "n_bytes": len(piece), "is_last": end, "sha256": digest, "digest_ok": ok, "payload": piece}
+        at, k = at + len(piece), k + 1
+        if end:
+            break
+    if not stream.starts(b"\r\n\r\n"):
+        row |= {"chunk_no": k, "byte_offset": at}
+        raise ValueError("no end of record after the payload")
+    stream.piece(4)
+
+
 def read_chunks(paths: DataFrame, *, chunk_bytes: int = CHUNK) -> DataFrame:
     """The chunked record table of the WARC files named in the column `path`, a file to a task at a time.
 

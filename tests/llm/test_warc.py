@@ -89,3 +89,29 @@ def test_tables(spark, tmp_path):
     paths = spark.createDataFrame([(f"file://{tmp_path}/one.warc.gz",), (None,), (f"file://{tmp_path}/missing.warc",)], "path string")
     found = read_chunks(paths).collect()
     assert sum(r["is_last"] and r["error"] is None for r in found) == len(PAYLOADS) and sum(r["error"] is not None for r in found) == 1
+
+
+@pytest.mark.parametrize("gz", [False, True])
+def test_a_fault_costs_no_other_record(gz):
+    def one(k, uri=None, change=lambda x: x):
+        out = io.BytesIO()
+        write_record(out, f"urn:row:{k}", uri or f"http://x/{k}", b"payload %d" % k, "text/html")
+        return (gzip.compress if gz else bytes)(change(out.getvalue()))
+
+    uri = "data:" + "x" * 700_000
+    whole = (
+        one(0) + one(1, uri) + one(2, change=lambda x: x.replace(b"Content-Length", b"Content-Other")) + one(3)
+        + one(4, change=lambda x: x.replace(b"payload 4\r\n\r\n", b"payload 4 and more\r\n\r\n")) + one(5) + (gzip.compress if gz else bytes)(b"junk\nmore junk\n") + one(6)
+        + one(7, change=lambda x: x[:-4]) + one(8)
+    )
+    rows = list(records(io.BytesIO(whole)))
+    good = {r["record_id"]: r for r in rows if r.get("payload") is not None}
+    assert [good[f"urn:row:{k}"]["payload"] for k in (0, 1, 3, 4, 5, 6, 7, 8)] == [b"payload %d" % k for k in (0, 1, 3, 4, 5, 6, 7, 8)]
+    assert good["urn:row:1"]["target_uri"] == uri and all(r["digest_ok"] for r in good.values())
+    assert [r.get("record_id") for r in rows if r.get("error")] == ["urn:row:2", "urn:row:4", None, "urn:row:7"]
+
+
+def test_a_page_of_a_very_long_uri_stays(spark):
+    pages = spark.createDataFrame([(k, "u" * (200_000 if k == 3 else 5), f"<{k}>") for k in range(8)], "page_id long, url string, html string").coalesce(1)
+    got = round_trip(spark, pages).collect()
+    assert sorted((r["page_id"], len(r["target_uri"]), bytes(r["payload"]).decode()) for r in got) == [(k, 200_000 if k == 3 else 5, f"<{k}>") for k in range(8)]
