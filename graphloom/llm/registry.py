@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.mixing import mix_sources
 
-    return mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars"))
+    return mix_sources(_table(spark, sf_dir, "documents"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

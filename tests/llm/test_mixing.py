@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from graphloom.llm.mixing import mix_sources, pfair_period, quantised, tempered_shares
+from graphloom.llm.registry import op1_mix_sources
 
 
 @settings(max_examples=80, deadline=None)
@@ -82,3 +83,10 @@ def test_a_long_tail_keeps_its_weights(spark, hot, few, docs):
                 assert abs(counts["hot"] - want) <= 16 + 0.01 * want
             assert all(abs(counts[s] - docs_so_far * shares[s] / total) < 3 for s in sizes if s != "hot")
     assert max(Counter(r["doc_id"] for r in got).values()) <= 6
+
+
+def test_the_query_mixes_whole_documents(spark, tmp_path):
+    table = spark.createDataFrame([(i, f"text {i}", "en", "ab"[i % 2], 6) for i in range(9)], "doc_id long, text string, lang string, source string, n_chars long")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    got = op1_mix_sources(spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["text"]) for r in got} == {(i, f"text {i}") for i in range(9)}
