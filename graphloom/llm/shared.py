@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         context.setCheckpointDir(named)
-    return named if "://" in named or named.startswith("file:") else "file://" + named
+    # A path without a scheme is of the cluster's default file system, as for checkpoints.
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(named)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -40,6 +44,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that are through; it does so when their objects are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def whole_ids(docs: DataFrame, id_col: str) -> None:
+    """Raise TypeError unless ids are whole numbers, which the packed tables of some operators need."""
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"{id_col} must hold whole numbers, not {kind.simpleString()}")
+
+
 def release(spark: SparkSession) -> None:
     """Delete this application's written tables; call when no result of it is read any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
