@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from graphloom.llm.kernel import gram_hashes
-from graphloom.llm.superkmers import RUN, WINDOW, in_groups, merged_spans, shared_strings
+from graphloom.llm.superkmers import RUN, TASK_WORDS, WINDOW, hot_windows, in_groups, merged_spans, shared_strings
 
 
 def count_windows(words: np.ndarray, first: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +51,7 @@ def count_windows(words: np.ndarray, first: np.ndarray, doc: np.ndarray, k: int)
     return repeated, number
 
 
-def repeated_spans(docs: DataFrame, *, k: int = WINDOW, m: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, *, k: int = WINDOW, m: int = RUN, task_words: int = TASK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start_word, end_word, most_copies): the parts of documents that windows of k words cover which another document has.
 
     Words are runs of other than white space, numbered from 0; end_word is past the last one. most_copies
@@ -58,9 +59,11 @@ def repeated_spans(docs: DataFrame, *, k: int = WINDOW, m: int = RUN, id_col: st
     one document alone don't make a span. Spans that touch or overlap are one.
 
     Ids must be whole numbers. Rows with a null id or text are passed over, texts of fewer than k words
-    have no windows; rows of one id count as one document, with each row's windows counted. An empty
-    table gives no rows; other columns are unused. A minimiser's strings must fit a task's memory.
+    have no windows; rows of one id count as one document, with each row's windows counted (rows alike in
+    id and text too). An empty table gives no rows; other columns are unused. Minimisers whose strings are
+    more than a task's `task_words` are counted window by window instead, by 128 bits of hash.
     """
-    strings, size = shared_strings(docs, k, m, id_col, text_col)
-    found = in_groups(strings, size, k, lambda words, first, doc, shard: count_windows(words, first, doc, k))
-    return merged_spans(found, k, id_col, "most_copies")
+    strings = shared_strings(docs, k, m, id_col, text_col, task_words)
+    found = in_groups(strings, k, lambda words, first, doc, shard: count_windows(words, first, doc, k), task_words)
+    hot = hot_windows(strings, F.count("*"))
+    return merged_spans(found if hot is None else found.unionByName(hot), k, id_col, "most_copies")

@@ -15,9 +15,10 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from graphloom.llm.kernel import gram_hashes
-from graphloom.llm.superkmers import RUN, WINDOW, in_groups, merged_spans, shared_strings
+from graphloom.llm.superkmers import RUN, TASK_WORDS, WINDOW, hot_windows, in_groups, merged_spans, shared_strings
 
 #: Words in a letter; WINDOW is a multiple.
 STRIDE = 10
@@ -176,7 +177,7 @@ def repeated_windows(words: np.ndarray, first: np.ndarray, doc: np.ndarray, shar
     return number > 1, number
 
 
-def repeated_intervals(docs: DataFrame, *, k: int = WINDOW, m: int = RUN, stride: int = STRIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_intervals(docs: DataFrame, *, k: int = WINDOW, m: int = RUN, stride: int = STRIDE, task_words: int = TASK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start_word, end_word, most_docs): parts of documents in repeated intervals of at least k words' common prefix.
 
     Words are runs of other than white space, numbered from 0; end_word is past the last one. most_docs
@@ -189,6 +190,7 @@ def repeated_intervals(docs: DataFrame, *, k: int = WINDOW, m: int = RUN, stride
     """
     if k % stride:
         raise ValueError("k must be a multiple of stride")
-    strings, size = shared_strings(docs, k, m, id_col, text_col)
-    found = in_groups(strings, size, k, lambda words, first, doc, shard: repeated_windows(words, first, doc, shard, k, stride))
-    return merged_spans(found, k, id_col, "most_docs")
+    strings = shared_strings(docs, k, m, id_col, text_col, task_words)
+    found = in_groups(strings, k, lambda words, first, doc, shard: repeated_windows(words, first, doc, shard, k, stride), task_words)
+    hot = hot_windows(strings, F.count_distinct("doc"))
+    return merged_spans(found if hot is None else found.unionByName(hot), k, id_col, "most_docs")

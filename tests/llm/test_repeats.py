@@ -25,7 +25,7 @@ def brute(rows, k):
         docs = {i for i, _ in places}
         if len(docs) > 1:
             for i, s in places:
-                hits[i][s] = (len(places), len(docs))
+                hits[i][s] = max(hits[i].get(s, (0, 0)), (len(places), len(docs)))
     out = {}
     for i, found in hits.items():
         start = end = None
@@ -58,6 +58,27 @@ def test_spans_are_those_of_brute_force(spark, odd, none, op, column, at):
     assert {r["doc_id"] for r in op(odd).collect()} == {6, 7}
 
 
+@pytest.mark.parametrize(("op", "column", "at"), [(repeated_spans, "most_copies", 1), (repeated_intervals, "most_docs", 2)])
+@pytest.mark.parametrize("task_words", [1 << 21, 150])
+def test_rows_that_repeat_an_id_keep_their_own_windows(spark, op, column, at, task_words):
+    """Different texts of one id, rows alike, and minimisers that are hot and not."""
+    r = random.Random(12)
+    passages = [prose(r, 70), prose(r, 55), "x y " * 40]
+    rows = []
+    for n in range(14):
+        parts = [prose(r, r.randrange(20)), *r.sample(passages, r.randrange(1, 3)), prose(r, r.randrange(20))]
+        rows.append((n % 4, " ".join(parts)))
+    rows += [rows[0], rows[5]]
+    got = {(r["doc_id"], r["start_word"]): (r["end_word"], r[column]) for r in op(spark.createDataFrame(rows, "doc_id long, text string"), task_words=task_words).collect()}
+    assert got == {k: (v[0], v[at]) for k, v in brute(rows, 50).items()}
+
+
+@pytest.mark.parametrize("op", [repeated_spans, repeated_intervals])
+def test_ids_must_be_whole_numbers(spark, op):
+    with pytest.raises(TypeError, match="whole numbers"):
+        op(spark.createDataFrame([("x", "a b c")], "doc_id string, text string"))
+
+
 def strings(seed, n=14, alphabet=3):
     r = np.random.default_rng(seed)
     base = r.integers(1, alphabet + 1, 90)
