@@ -64,6 +64,19 @@ def _run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     return h
 
 
+def prefix_hash(words: np.ndarray) -> np.ndarray:
+    """Running sums from which run_hash() takes the hash of any run of words."""
+    total = np.empty(len(words) + 1, np.uint64)
+    total[0] = 0
+    np.multiply(words, _powers(_Q, len(words)), out=total[1:])
+    return np.add.accumulate(total, out=total)
+
+
+def run_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of runs by their words alone, wherever they stand."""
+    return (sums[end] - sums[start]) * _powers(_Q_INV, len(sums))[start]
+
+
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of each run of k words; entry i is of words[i : i + k]."""
     n = len(words) - k + 1

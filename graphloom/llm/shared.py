@@ -5,7 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -57,6 +59,27 @@ def whole_ids(docs: DataFrame, id_col: str) -> None:
         raise TypeError(f"{id_col} must hold whole numbers, not {kind.simpleString()}")
 
 
+def apart(names: list[str], taken: list[str]) -> list[str]:
+    """names, with underscores added to those that are taken already."""
+    out: list[str] = []
+    for name in names:
+        while name in taken or name in out:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ...: whatever names they have, dots and repetitions included, nothing clashes."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """mapInArrow by a function that keeps the columns, which it must find by position."""
+    rows = plain(df)
+    return rows.mapInArrow(run, rows.schema).toDF(*df.columns)
+
+
 def release(spark: SparkSession) -> None:
     """Delete this application's written tables; call when no result of it is read any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
