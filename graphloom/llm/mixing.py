@@ -17,17 +17,21 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from math import floor, gcd
+from math import ceil, floor, gcd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.shared import plain
+
 #: The schedule of one period is made on the driver; more sources than this are refused, not cut.
 MAX_SOURCES = 1_000_000
 #: Most that rounding to units may change a weight, as a part of it; sources beyond it are the tail.
 ROUNDING = 0.01
 #: Numerator of the tail's share, whose denominator then has at least its precision.
 TAIL_UNITS = 100_000
+#: The columns that a mixture adds.
+ADDED = ("mix_task", "mix_block", "mix_epoch", "mix_release", "mix_deadline", "mix_slot", "mix_rank")
 
 
 def pfair_period(units: list[int]) -> list[list[int]]:
@@ -59,21 +63,6 @@ def tempered_shares(counts: dict[str, int], most_epochs: float) -> dict[str, flo
     return {k: n * min(most_epochs, ((top / n) ** 0.5) ** 0.5) for k, n in counts.items()}
 
 
-def quantised(shares: dict[str, float], resolution: int) -> tuple[dict[str, str], dict[str, int]]:
-    """(source -> task, task -> units): sources of less than one unit join the smallest task that has one.
-
-    mix_sources() doesn't use it, since such sources lose their weights; see split_tail().
-    """
-    total = sum(shares.values())
-    units = {k: round(resolution * s / total) for k, s in shares.items()}
-    tasks = {k: u for k, u in units.items() if u > 0}
-    if not tasks:
-        tasks = {max(shares, key=lambda k: (shares[k], k)): 1}
-    smallest = min(tasks, key=lambda k: (tasks[k], k))
-    divisor = gcd(*tasks.values())
-    return {k: k if k in tasks else smallest for k in shares}, {k: u // divisor for k, u in tasks.items()}
-
-
 def split_tail(shares: dict[str, float], resolution: int) -> tuple[dict[str, int], list[str]]:
     """(units of the sources that resolution can tell, sources of the tail)."""
     total = sum(shares.values())
@@ -99,6 +88,7 @@ def mix_sources(
     block_docs: int = 32,
     resolution: int = 10_000,
     most_epochs: float = 4.0,
+    epoch_limit: int = 100,
     bucket_docs: int = 20_000,
     source_col: str = "source",
     id_col: str = "doc_id",
@@ -114,6 +104,9 @@ def mix_sources(
     their summed weight, named by the source if it is one and else "(tail)"; within it each has its own
     weight to about a document, so beside a tail the deviation is less than two blocks.
 
+    A mixture in which some source's documents would come more than epoch_limit times is refused with a
+    ValueError that names it: the weights don't fit the documents there are.
+
     Returns the columns of docs and `mix_task`, `mix_block` (number of the block in its task, over all
     epochs), `mix_epoch`, `mix_release`, `mix_deadline`, `mix_slot`, `mix_rank` (place in the block);
     columns of docs with these names are replaced. Sorting by (mix_slot, mix_rank) gives the mixture.
@@ -123,8 +116,11 @@ def mix_sources(
     empty table gives an empty mixture.
     """
     spark = docs.sparkSession
-    out = [c for c in docs.columns if not c.startswith("mix_")]
-    keyed = docs.select(*out, _key(F.col(source_col)).alias("mix_key"))
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    out = [at[c] for c in docs.columns if c not in ADDED]
+    kept = [c for c in docs.columns if c not in ADDED]
+    keyed = plain(docs).select(*sorted({*out, at[id_col]}), _key(F.col(at[source_col])).alias("mix_key"))
+    id_ = at[id_col]
     found = {r["mix_key"]: r["n"] for r in keyed.groupBy("mix_key").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -163,6 +159,13 @@ def mix_sources(
         whole, rest = divmod(inner, period)
         return whole * units[k] + sum(s < rest for s in slots[k])
 
+    epochs_of = {k: -(-placed(k) // blocks[k]) for k in tasks}
+    if tail:
+        until = tail_placed * block_docs + len(tail)
+        epochs_of |= {k: ceil(until * weight[k] / found[k]) for k in tail}
+    worst = max(epochs_of, key=lambda k: (epochs_of[k], k), default=None)
+    if worst is not None and epochs_of[worst] > epoch_limit:
+        raise ValueError(f"source {worst} would come {epochs_of[worst]} times, more than epoch_limit = {epoch_limit}")
     buckets = {k: max(1, -(-found[k] // bucket_docs)) for k in shares}
     plan = spark.createDataFrame(
         [(k, k, units[k], slots[k], blocks[k], placed(k), buckets[k]) for k in tasks],
@@ -171,7 +174,7 @@ def mix_sources(
     everyone = spark.createDataFrame([(k, k, buckets[k]) for k in shares], "mix_key string, mix_task string, mix_buckets long")
     # One row a source, a slot a unit: of bounded size, so it goes to every executor. The slots join after the shuffles.
     keyed = keyed.join(F.broadcast(everyone), "mix_key")
-    keyed = keyed.withColumn("mix_h", F.xxhash64(F.col(id_col).cast("string"))).withColumn("mix_bucket", F.pmod("mix_h", "mix_buckets"))
+    keyed = keyed.withColumn("mix_h", F.xxhash64(F.col(id_).cast("string"))).withColumn("mix_bucket", F.pmod("mix_h", "mix_buckets"))
     # Numbers within a task without one partition for it: count buckets, sum the counts, number within buckets.
     counts = keyed.groupBy("mix_task", "mix_bucket").agg(F.count("*").alias("mix_n"))
     before = counts.select(
@@ -179,7 +182,7 @@ def mix_sources(
         "mix_bucket",
         (F.sum("mix_n").over(Window.partitionBy("mix_task").orderBy("mix_bucket")) - F.col("mix_n")).alias("mix_before"),
     )
-    within = F.row_number().over(Window.partitionBy("mix_task", "mix_bucket").orderBy("mix_h", F.col(id_col)))
+    within = F.row_number().over(Window.partitionBy("mix_task", "mix_bucket").orderBy("mix_h", id_))
     number = F.col("mix_before") + F.col("mix_number") - 1
     numbered = keyed.withColumn("mix_number", within).join(before, ["mix_task", "mix_bucket"]).withColumn("mix_number", number).drop("mix_key")
     main = (
@@ -208,9 +211,8 @@ def mix_sources(
         "mix_rank",
     )
     if not tail:
-        return result
+        return result.toDF(*kept, *ADDED)
     # Up to this time at least tail_placed blocks are due, since each source has less than one document fewer than its weight gives.
-    until = tail_placed * block_docs + len(tail)
     dues = spark.createDataFrame([(k, weight[k], _phase(k), found[k]) for k in tail], "mix_task string, mix_w double, mix_u double, mix_n long")
     copies = (
         numbered.join(F.broadcast(dues), "mix_task")
@@ -242,4 +244,4 @@ def mix_sources(
             (F.col("mix_place") % block_docs).alias("mix_rank"),
         )
     )
-    return result.unionByName(rest) if tasks else rest
+    return (result.unionByName(rest) if tasks else rest).toDF(*kept, *ADDED)

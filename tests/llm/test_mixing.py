@@ -4,10 +4,11 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from graphloom.llm.mixing import mix_sources, pfair_period, quantised, tempered_shares
+from graphloom.llm.mixing import mix_sources, pfair_period, split_tail, tempered_shares
 from graphloom.llm.registry import op1_mix_sources
 
 
@@ -23,9 +24,50 @@ def test_no_source_departs_by_a_block(units):
             assert abs(sum(x < t for x in s) - Fraction(u * t, period)) < 1
 
 
-def test_small_shares_join_a_task():
-    task, units = quantised({"a": 0.9, "b": 0.0999, "c": 0.0001}, 1000)
-    assert task == {"a": "a", "b": "b", "c": "b"} and units == {"a": 9, "b": 1}
+def test_shares_that_units_cannot_tell_are_the_tail():
+    units, tail = split_tail({"a": 0.9, "b": 0.0999, "c": 0.0001}, 1000)
+    assert units == {"a": 9, "b": 1} and tail == ["c"]
+
+
+def by_hand(rows, units, block):
+    """(slot, rank, id, epoch, block, release, deadline) of the mixture, slot after slot by earliest deadline."""
+    order = {s: sorted((i for i, x in rows if x == s), key=lambda i: (xxhash.xxh64_intdigest(str(i), seed=42) ^ 1 << 63, i)) for s in units}
+    blocks = {s: [x[k : k + block] for k in range(0, len(x), block)] for s, x in order.items()}
+    total, given, out, t = sum(units.values()), dict.fromkeys(units, 0), [], 0
+    while any(given[s] < len(blocks[s]) for s in units):
+        open_ = [(-(-(given[s] + 1) * total // units[s]), s) for s in units if given[s] * total // units[s] <= t]
+        deadline, s = min(open_)
+        j = given[s]
+        docs = blocks[s][j % len(blocks[s])]
+        out += [(t, r, i, j // len(blocks[s]), j, j * total // units[s], deadline) for r, i in enumerate(docs)]
+        given[s] += 1
+        t += 1
+    return out
+
+
+@pytest.mark.parametrize(("units", "sizes"), [({"x": 5, "y": 3, "z": 2}, (70, 31, 9)), ({"x": 1, "y": 1}, (5, 40)), ({"x": 97, "y": 2, "z": 1}, (10, 3, 1)), ({"z": 1}, (0, 0, 7))])
+def test_the_mixture_is_that_of_a_schedule_by_hand(spark, units, sizes):
+    rows = [(100 * k + i, s) for k, (s, n) in enumerate(zip("xyz", sizes, strict=False)) for i in range(n)]
+    total = sum(units.values())
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), {k: u / total for k, u in units.items()}, block_docs=4, resolution=total, epoch_limit=1000).collect()
+    names = ("mix_slot", "mix_rank", "doc_id", "mix_epoch", "mix_block", "mix_release", "mix_deadline")
+    assert sorted(tuple(r[n] for n in names) for r in got) == by_hand([x for x in rows if x[1] in units], units, 4)
+
+
+def test_a_mixture_that_would_repeat_a_source_too_often_is_refused(spark):
+    rows = [(i, "b") for i in range(400)] + [(1000, "a")]
+    with pytest.raises(ValueError, match="epoch_limit"):
+        mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), {"a": 0.99, "b": 0.01})
+    few = [(i, "b") for i in range(400)] + [(1000 + i, f"t{i}") for i in range(30)]
+    with pytest.raises(ValueError, match="epoch_limit"):
+        mix_sources(spark.createDataFrame(few, "doc_id long, source string"), {"b": 0.001} | {f"t{i}": 0.999 / 30 + i / 1e5 for i in range(30)}, resolution=20)
+
+
+def test_other_columns_stay(spark):
+    rows = spark.createDataFrame([(i, "ab"[i % 2], "note", "dot", 1) for i in range(20)], "doc_id long, source string, mix_notes string, `a.b` string, mix_slot long")
+    got = mix_sources(rows)
+    assert got.columns[:4] == ["doc_id", "source", "mix_notes", "a.b"] and got.columns.count("mix_slot") == 1
+    assert {(r["mix_notes"], r["a.b"]) for r in got.collect()} == {("note", "dot")} and {r["mix_slot"] for r in got.collect()} == {0, 1}
 
 
 @pytest.mark.parametrize("weights", [None, {"big": 0.5, "mid": 0.3, "small": 0.2}])
