@@ -13,6 +13,7 @@ import hashlib
 import json
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.shared import apart, map_rows
+
 #: A necessary condition for any report; it runs in the JVM, so that Python sees few texts.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}|-----BEGIN"
 
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
 _ACCESS_ID = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z2-7]{16}(?![A-Za-z0-9])")
 _CHECKED = re.compile(r"(?<![A-Za-z0-9])gh[opsur]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
@@ -156,6 +159,17 @@ def checksum_fits(text: str) -> bool:
     return digits == text[-6:]
 
 
+def access_account(text: str) -> int | None:
+    """The account of an access key id, from the 40 bits below the first one of its decoded part; None if they are no account.
+
+    Accounts have twelve digits, and drawn characters differ from one another: fewer than eight of the
+    sixteen, or a number beyond twelve digits, is no id.
+    """
+    raw = base64.b32decode(text[4:])
+    account = (int.from_bytes(raw[:6], "big") & 0x7FFFFFFFFF80) >> 7
+    return account if len(set(text[4:])) >= 8 and 0 < account < 10**12 else None
+
+
 def _pem_body(body: str) -> tuple[str, str]:
     """(headers, the rest) of a PEM body: RFC 1421 headers end with an empty line."""
     lines = [x.strip() for x in body.splitlines()]
@@ -245,16 +259,17 @@ def find_secrets(text: str | None) -> list[Finding]:
         if kind := signed_token(m[0]):
             found.append((m.start(), m.end(), _KINDS[2], kind))
     for m in _ACCESS_ID.finditer(text):
-        raw = base64.b32decode(m[0][4:])  # the account is in 40 bits below the first one
-        found.append((m.start(), m.end(), _KINDS[3], str((int.from_bytes(raw[:6], "big") & 0x7FFFFFFFFF80) >> 7)))
+        if (account := access_account(m[0])) is not None:
+            found.append((m.start(), m.end(), _KINDS[3], f"{account:012d}"))
     for m in _CHECKED.finditer(text):
         if checksum_fits(m[0]):
             found.append((m.start(), m.end(), _KINDS[4], m[0][:3]))
-    kept: list[Finding] = []
+    kept: list[Finding] = []  # in order, and apart: only the two at x's place can overlap it
     for x in sorted(found, key=lambda x: (_KINDS.index(x[2]), x[0])):
-        if all(x[1] <= y[0] or y[1] <= x[0] for y in kept):
-            kept.append(x)
-    return sorted(kept)
+        at = bisect_left(kept, x[:2])
+        if (at == 0 or kept[at - 1][1] <= x[0]) and (at == len(kept) or x[1] <= kept[at][0]):
+            kept.insert(at, x)
+    return kept
 
 
 def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,12 +277,11 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Whole texts are scanned; the value itself isn't repeated. Null and empty texts have no secrets; a
     null id is carried along; repeated rows are reported as often as they occur; other columns are unused.
+    A result column whose name the id has ends in _.
     """
-    schema = T.StructType(
-        [T.StructField(id_col, docs.schema[id_col].dataType)]
-        + [T.StructField(n, T.LongType()) for n in ("start_char", "end_char")]
-        + [T.StructField(n, T.StringType()) for n in ("kind", "detail", "value_sha256")]
-    )
+    names = apart([id_col, "start_char", "end_char", "kind", "detail", "value_sha256"], [])
+    kinds = [docs.schema[id_col].dataType, T.LongType(), T.LongType(), *[T.StringType()] * 3]
+    schema = T.StructType([T.StructField(f"c{i}", k) for i, k in enumerate(kinds)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,7 +297,8 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                     names=schema.names,
                 )
 
-    return docs.select(id_col, text_col).where(F.col(text_col).rlike(CANDIDATE)).mapInArrow(run, schema)
+    rows = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"))
+    return rows.where(F.col("t").rlike(CANDIDATE)).mapInArrow(run, schema).toDF(*names)
 
 
 def redact(text: str | None) -> str | None:
@@ -299,13 +314,13 @@ def redact(text: str | None) -> str | None:
 
 
 def redact_secrets(docs: DataFrame, *, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """docs with confirmed secrets masked in the text, and length_col, if there, set to the new length.
+    """docs with confirmed secrets masked in the text, and length_col, if there and of whole numbers, set to the new length.
 
     Every row stays, in the same columns; texts without secrets, null and empty ones are unchanged.
     """
     candidate = re.compile(CANDIDATE)
-    columns, schema = docs.columns, docs.schema
-    has_length = length_col in columns
+    columns = docs.columns
+    has_length = length_col in columns and isinstance(docs.schema[length_col].dataType, T.IntegralType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,4 +340,4 @@ def redact_secrets(docs: DataFrame, *, text_col: str = "text", length_col: str |
                 batch = pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
             yield batch
 
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run)
