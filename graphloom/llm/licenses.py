@@ -9,16 +9,20 @@ diagonal decides, giving coverage and span.
 from __future__ import annotations
 
 import pkgutil
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.kernel import Words, gram_hashes, word_slices, words_of
+from graphloom.llm.shared import apart
 
 #: Words in a fingerprint; fingerprints in a window, of which the least is kept: a run of GRAM + WINDOW - 1
 #: equal words always shares a fingerprint.
@@ -27,28 +31,79 @@ GRAM, WINDOW = 3, 3
 #: Templates of more words than this are aligned a row at a time by array operations.
 LONG = 60
 
-#: One-line notices by identifier; NOTICES has the standard notices, and full_texts() the licences themselves.
-TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("MIT", "Released under the MIT License"),
-    ("MIT", "Licensed under the MIT License"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("BSD", "Licensed under the BSD 3-Clause License"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0"),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0"),
-    ("Unlicense", "This is free and unencumbered software released into the public domain"),
+#: Templates of fewer words than this must be matched whole.
+SHORT = 10
+
+
+class Template(NamedTuple):
+    """A licence's identifier, a text that names it, and phrases of the text that must stand in the document as they are.
+
+    A phrase that ends in a number isn't matched where the document goes on with a further one: version 2 isn't 2.1.
+    """
+
+    name: str
+    text: str
+    keys: tuple[str, ...] = ()
+
+
+#: Names of licences in running text: (identifier, forms). The identifier without a version is for names without one.
+_NAMES: tuple[tuple[str, tuple[str, ...]], ...] = (
+    ("Apache-2.0", ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache Software License, Version 2.0")),
+    ("Apache", ("Apache License", "Apache Software License")),
+    ("MIT", ("MIT License", "MIT Licence", "Expat License")),
+    ("BSD-2-Clause", ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License")),
+    ("BSD-3-Clause", ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License")),
+    ("BSD", ("BSD License",)),
+    ("ISC", ("ISC License",)),
+    *((f"GPL-{n}.0", tuple(f.format(x) for f in ("GNU General Public License, version {}", "GNU General Public License {}.0", "GNU GPL version {}", "GNU GPL v{}", "GPLv{} license", "GPL version {}") for x in (n,))) for n in (1, 2, 3)),
+    ("GPL", ("GNU General Public License", "GNU GPL")),
+    *((f"LGPL-{n}", (f"GNU Lesser General Public License, version {n}", f"GNU LGPL version {n}", f"GNU LGPL v{n}", f"LGPL version {n}")) for n in ("2.1", "3")),
+    ("LGPL-2.0", ("GNU Library General Public License, version 2",)),
+    ("LGPL", ("GNU Lesser General Public License", "GNU Library General Public License", "GNU LGPL")),
+    ("AGPL-3.0", ("GNU Affero General Public License, version 3", "GNU AGPL version 3", "GNU AGPL v3")),
+    ("AGPL", ("GNU Affero General Public License", "GNU AGPL")),
+    *((f"MPL-{n}", (f"Mozilla Public License, version {n}", f"Mozilla Public License, v. {n}", f"Mozilla Public License {n}")) for n in ("1.1", "2.0")),
+    ("MPL", ("Mozilla Public License",)),
+    *((f"EPL-{n}", (f"Eclipse Public License, version {n}", f"Eclipse Public License v{n}", f"Eclipse Public License - v {n}", f"Eclipse Public License {n}")) for n in ("1.0", "2.0")),
+    ("EPL", ("Eclipse Public License",)),
+    ("BSL-1.0", ("Boost Software License, Version 1.0", "Boost Software License 1.0")),
+    ("Artistic-2.0", ("Artistic License 2.0", "Artistic License, Version 2.0")),
+    ("Zlib", ("zlib License",)),
+    ("WTFPL", ("Do What The Fuck You Want To Public License",)),
+    *((f"CC-{k}-{v}", (f"CC {k} {v}", f"CC {k} {v} license")) for k in ("BY", "BY-SA", "BY-NC", "BY-NC-SA", "BY-ND", "BY-NC-ND") for v in ("4.0", "3.0", "2.5", "2.0")),
+    ("CC0-1.0", ("CC0 1.0 Universal", "CC0 1.0")),
+    ("LGPL-3.0", ("GNU Lesser General Public License, version 3",)),
 )
+_NAMES = tuple((k if k != "LGPL-3" else "LGPL-3.0", forms) for k, forms in _NAMES)
+_UNDER = (*(f"{verb} under{the}" for verb in ("Licensed", "Released", "Distributed", "Available", "Published") for the in (" the", "")), "under the terms of the", "licensed under a")
+#: Identifiers of the SPDX list that a tag may give.
+_SPDX = (
+    "0BSD", "AFL-3.0", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-1.1", "Apache-2.0", "Artistic-1.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "BSL-1.0",
+    "CC-BY-3.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-NC-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "CC-BY-SA-3.0", "CC-BY-SA-4.0", "CC0-1.0", "CDDL-1.0", "CDDL-1.1", "CPL-1.0", "ECL-2.0", "EPL-1.0",
+    "EPL-2.0", "EUPL-1.1", "EUPL-1.2", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.0", "LGPL-2.1",
+    "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "LPPL-1.3c", "MIT", "MIT-0", "MPL-1.1", "MPL-2.0", "MS-PL", "MS-RL", "MulanPSL-2.0", "NCSA", "OFL-1.1", "OSL-3.0",
+    "PostgreSQL", "Python-2.0", "Unlicense", "UPL-1.0", "Vim", "W3C", "WTFPL", "Zlib", "ZPL-2.1",
+)
+
+#: One-line notices; NOTICES has the standard notices, NAMED the names after a verb, SPDX the tags, and full_texts() the licences themselves.
+TEMPLATES: tuple[Template, ...] = (
+    Template("Apache-2.0", "Licensed under the Apache License, Version 2.0", ("Apache License Version 2.0",)),
+    Template("MIT", "Released under the MIT License", ("MIT License",)),
+    Template("MIT", "Licensed under the MIT License", ("MIT License",)),
+    Template("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", ("to any person obtaining a copy",)),
+    Template("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted", ("source and binary forms",)),
+    Template("BSD-3-Clause", "Licensed under the BSD 3-Clause License", ("BSD 3-Clause License",)),
+    Template("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee", ("with or without fee",)),
+    *(Template(k, f"This work is licensed under the {name}, version {n}", (name, f"version {n}")) for k, name, n in (
+        ("GPL-2.0", "GNU General Public License", 2), ("GPL-3.0", "GNU General Public License", 3), ("LGPL-3.0", "GNU Lesser General Public License", 3), ("AGPL-3.0", "GNU Affero General Public License", 3),
+    )),
+    Template("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("Mozilla Public License v. 2.0",)),
+    Template("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights", ("waived all copyright",)),
+    *(Template(f"CC-{k}-4.0", f"Licensed under CC {k} 4.0", (f"CC {k} 4.0",)) for k in ("BY", "BY-SA", "BY-NC", "BY-NC-SA", "BY-ND")),
+    Template("Unlicense", "This is free and unencumbered software released into the public domain", ("public domain",)),
+)
+NAMED: tuple[Template, ...] = tuple(Template(k, f"{under} {name}", (name,)) for k, names in _NAMES for name in names for under in _UNDER)
+SPDX: tuple[Template, ...] = tuple(Template(k, f"SPDX-License-Identifier: {k}", (f"SPDX-License-Identifier: {k}",)) for k in _SPDX)
 
 _FSF = (
     "This {what} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, "
@@ -68,16 +123,15 @@ _CC = (
 )
 _CC_VERSIONS = (("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"), ("2.0", "Generic"))
 
-#: Notices that licences ask for, by identifier.
-NOTICES: tuple[tuple[str, str], ...] = (
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
-    *((k, _FSF.format(what=what, name=name, n=n)) for k, name, n in _GNU for what in ("program", "library")),
-    *((k, form.format(name=name, n=n)) for k, name, n in _GNU for form in (_FSF_SHORT, _FSF_ONLY)),
-    *((f"CC-{k}-{v}", f"This work is licensed under a Creative Commons {name} {v} {where} License") for k, name in _CC for v, where in _CC_VERSIONS),
-    *((f"CC-{k}-{v}", f"licensed under the Creative Commons {name} {v} {where} License") for k, name in _CC for v, where in _CC_VERSIONS),
+#: Notices that licences ask for.
+NOTICES: tuple[Template, ...] = (
+    Template("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.', ("Apache License Version 2.0",)),
+    Template("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", ("Mozilla Public License v. 2.0",)),
+    *(Template(k, _FSF.format(what=what, name=name, n=n), (name, f"version {n}")) for k, name, n in _GNU for what in ("program", "library")),
+    *(Template(k, form.format(name=name, n=n), (name, f"version {n}")) for k, name, n in _GNU for form in (_FSF_SHORT, _FSF_ONLY)),
+    *(Template(f"CC-{k}-{v}", f"{verb} Creative Commons {name} {v} {where} License", (f"Creative Commons {name} {v}",)) for verb in ("This work is licensed under a", "licensed under the", "licensed under a") for k, name in _CC for v, where in _CC_VERSIONS),
     # The legal code of 4.0 states its name in this sentence.
-    *((f"CC-{k}-4.0", f'By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons {name} 4.0 International Public License ("Public License")') for k, name in _CC),
+    *(Template(f"CC-{k}-4.0", f'By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons {name} 4.0 International Public License ("Public License")', (f"Creative Commons {name} 4.0",)) for k, name in _CC),
 )
 _TEXTS = (
     "AGPL-3.0", "Apache-2.0", "Artistic-1.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0",
@@ -86,15 +140,15 @@ _TEXTS = (
 
 
 @cache
-def full_texts() -> tuple[tuple[str, str], ...]:
+def full_texts() -> tuple[Template, ...]:
     """Whole licences by identifier, from the files of license_texts."""
-    return tuple((k, (pkgutil.get_data(__package__, f"license_texts/{k}.txt") or b"").decode()) for k in _TEXTS)
+    return tuple(Template(k, (pkgutil.get_data(__package__, f"license_texts/{k}.txt") or b"").decode()) for k in _TEXTS)
 
 
 @cache
-def all_templates() -> tuple[tuple[str, str], ...]:
-    """One-line notices, standard notices and whole licences, in this order."""
-    return TEMPLATES + NOTICES + full_texts()
+def all_templates() -> tuple[Template, ...]:
+    """One-line notices, standard notices, whole licences, names after a verb and tags, in this order."""
+    return TEMPLATES + NOTICES + full_texts() + NAMED + SPDX
 
 
 def winnow(words: np.ndarray, first: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -129,23 +183,55 @@ class Index:
     template: np.ndarray
     position: np.ndarray
     bags: tuple[tuple[np.ndarray, np.ndarray], ...]  # the different words of each template and how often each occurs
+    keys: tuple[tuple[tuple[int, ...], ...], ...]  # phrases that must match, as word hashes
 
 
-def build_index(templates: Sequence[tuple[str, str]]) -> Index:
+def _hashes(text: str) -> np.ndarray:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return words_of(raw, np.array([0, len(raw)]), folded=True).hashes
+
+
+@cache
+def _numbers() -> frozenset[int]:
+    return frozenset(int(_hashes(str(k))[0]) for k in range(31))
+
+
+@cache
+def _zero() -> int:
+    return int(_hashes("0")[0])
+
+
+def stands(doc: list[int], key: tuple[int, ...], start: int, end: int) -> bool:
+    """Whether the phrase stands in doc[start:end], and isn't a number cut short."""
+    at = start
+    while True:
+        try:
+            at = doc.index(key[0], at, end)
+        except ValueError:
+            return False
+        stop = at + len(key)
+        if stop <= end and tuple(doc[at:stop]) == key:
+            more = doc[stop] if stop < len(doc) and key[-1] in _numbers() else _zero()
+            if more == _zero() or more not in _numbers():
+                return True
+        at += 1
+
+
+def build_index(templates: Sequence[tuple[str, ...]]) -> Index:
     """The inverted index; templates of fewer words than a fingerprint has are refused."""
-    words, rows = [], []
-    for k, (name, text) in enumerate(templates):
-        raw = np.frombuffer(text.encode(), np.uint8)
-        w = words_of(raw, np.array([0, len(raw)]), folded=True)
-        if len(w.hashes) < GRAM:
+    words, rows, keys = [], [], []
+    for k, (name, text, phrases) in enumerate(Template(*t) for t in templates):
+        own = _hashes(text)
+        if len(own) < GRAM:
             raise ValueError(f"the template {name} has fewer than {GRAM} words")
-        words.append(w.hashes)
-        at, h = winnow(w.hashes, w.first)
+        words.append(own)
+        keys.append(tuple(tuple(_hashes(p).tolist()) for p in phrases))
+        at, h = winnow(own, np.array([0, len(own)]))
         rows += [(int(x), k, int(p)) for x, p in zip(h, at, strict=True)]
     rows.sort()
     prints, template, position = zip(*rows, strict=True)
     bags = tuple(np.unique(w, return_counts=True) for w in words)
-    return Index(tuple(n for n, _ in templates), tuple(words), np.array(prints, np.uint64), np.array(template), np.array(position), bags)
+    return Index(tuple(t[0] for t in templates), tuple(words), np.array(prints, np.uint64), np.array(template), np.array(position), bags, tuple(keys))
 
 
 def shared_words(bag: tuple[np.ndarray, np.ndarray], doc: np.ndarray) -> int:
@@ -228,10 +314,18 @@ def matches(doc: np.ndarray, positions: np.ndarray, prints: np.ndarray, index: I
         for k in range(a, b):
             hits.setdefault(int(index.template[k]), []).append(p - int(index.position[k]))
     found = []
+    listed = doc.tolist() if hits else []
+    known: dict[tuple[int, ...], bool] = {}
     for t, diagonals in hits.items():
         template = index.words[t]
+        for key in index.keys[t]:
+            if key not in known:
+                known[key] = stands(listed, key, 0, len(listed))
+        if not all(known[key] for key in index.keys[t]):
+            continue
+        need = len(template) if len(template) < SHORT else coverage * len(template)
         long = len(template) > LONG
-        if long and (len(doc) < coverage * len(template) or shared_words(index.bags[t], doc) < coverage * len(template)):
+        if long and (len(doc) < need or shared_words(index.bags[t], doc) < need):
             continue
         band = max(3, len(template) // 4)
         diagonals = sorted(set(diagonals))
@@ -240,17 +334,19 @@ def matches(doc: np.ndarray, positions: np.ndarray, prints: np.ndarray, index: I
             diagonals = diagonals[len(group) :]
             base = max(0, group[0] - band)
             piece = doc[base : group[-1] + len(template) + 2 * band]
-            if long and shared_words(index.bags[t], piece) < coverage * len(template):
+            if long and shared_words(index.bags[t], piece) < need:
                 continue
             score, matched, start, end = (align_rows if long else align)(template, piece, group[0] - band - base, group[-1] + band - base)
-            if matched >= coverage * len(template):
+            if matched >= need:
                 start, end = _trimmed(template, piece, start, end)
-                found.append((t, base + start, base + end, matched, score))
-    kept: list[tuple[int, int, int, int, int]] = []
+                if all(stands(listed, key, base + start, base + end) for key in index.keys[t]):
+                    found.append((t, base + start, base + end, matched, score))
+    kept: list[tuple[int, int, int, int, int]] = []  # in order, and apart: only the two at x's place can overlap it
     for x in sorted(set(found), key=lambda x: (-x[4], x[1], x[0])):
-        if all(x[2] <= y[1] or y[2] <= x[1] for y in kept):
-            kept.append(x)
-    return sorted(kept, key=lambda x: x[1])
+        at = bisect_left(kept, x[1], key=lambda y: y[1])
+        if (at == 0 or kept[at - 1][2] <= x[1]) and (at == len(kept) or x[2] <= kept[at][1]):
+            kept.insert(at, x)
+    return kept
 
 
 def _characters(w: Words, low: int, byte: int) -> int:
@@ -258,23 +354,25 @@ def _characters(w: Words, low: int, byte: int) -> int:
     return int(np.count_nonzero((w.buf[low:byte] & 0xC0) != 0x80))
 
 
-def scan_licenses(docs: DataFrame, *, templates: Sequence[tuple[str, str]] | None = None, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, *, templates: Sequence[tuple[str, ...]] | None = None, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, license, template_no, coverage_percent, matched_words, start_char, end_char) for every licence found.
 
-    templates: (identifier, text) pairs; without them, all_templates().
-    coverage: least part of a template's words that the alignment must match, in order. Where the spans of
-    several templates overlap, the one of highest score counts, then the earliest and the first listed.
+    templates: as Template; without them, all_templates().
+    coverage: least part of a template's words that the alignment must match, in order; all of them in
+    templates of fewer than SHORT words, and always the template's keys, each in one piece. Where the spans
+    of several templates overlap, the one of highest score counts, then the earliest and the first listed.
+    Licences named without their version have an identifier without one.
     The index is built from the templates alone and has their size, whatever the documents.
 
     Null and empty texts have none; a null id is carried along; repeated rows are reported as often as
-    they occur; other columns are unused.
+    they occur; other columns are unused. A result column whose name the id has ends in _.
     """
     index = build_index(all_templates() if templates is None else templates)
     small = np.zeros(1 << 20, bool)
     small[(index.prints & np.uint64(0xFFFFF)).astype(np.int64)] = True
-    names = [id_col, "license", "template_no", "coverage_percent", "matched_words", "start_char", "end_char"]
+    names = apart([id_col, "license", "template_no", "coverage_percent", "matched_words", "start_char", "end_char"], [])
     kinds = [T.StringType(), *[T.LongType()] * 5]
-    schema = T.StructType([T.StructField(n, k) for n, k in zip(names, [docs.schema[id_col].dataType, *kinds], strict=True)])
+    schema = T.StructType([T.StructField(f"c{i}", k) for i, k in enumerate([docs.schema[id_col].dataType, *kinds])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,6 +393,6 @@ def scan_licenses(docs: DataFrame, *, templates: Sequence[tuple[str, str]] | Non
             if rows:
                 at, *rest = (list(x) for x in zip(*rows, strict=True))
                 arrays = [pa.array(x, pa.string() if i == 0 else pa.int64()) for i, x in enumerate(rest)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *arrays], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *arrays], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).mapInArrow(run, schema).toDF(*names)
