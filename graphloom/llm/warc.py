@@ -1,17 +1,20 @@
 """Operator 10: WARC as a chunked record table.
 
-A payload never stands in memory as a whole: reader and writer hold one chunk and a running digest. A
-record becomes rows of (record_id, chunk_no, payload piece, digest of the payload so far).
+A payload never stands in memory as a whole: read_chunks() and write_chunks() hold one chunk and a running
+digest. A record becomes rows of (record_id, chunk_no, payload piece, digest of the payload so far), and
+such rows become a record. Only write_warc(), which starts from whole pages in cells, has what Spark hands it.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import os
 import uuid
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -112,10 +115,25 @@ class _Buffered:
         return out
 
 
+#: Bytes of the digests that records state.
+_DIGESTS = {"md5": 16, "sha1": 20, "sha256": 32, "sha512": 64}
+
+
 def _claimed(header: dict[str, str]) -> tuple[str, str] | None:
-    """(algorithm, hex digest) that the record states for its block."""
+    """(algorithm, hex digest) that the record states for its block, in hex or base 32; None if there is none to compare."""
     name, _, value = header.get("warc-block-digest", "").partition(":")
-    return (name.lower(), value.lower()) if name.lower() in ("sha1", "sha256", "md5") and all(c in "0123456789abcdef" for c in value.lower()) and value else None
+    name, value = name.strip().lower().replace("-", ""), value.strip()
+    size = _DIGESTS.get(name)
+    if size is None:
+        return None
+    raw = value.rstrip("=").upper()
+    for text, whole, decode in ((value, 2 * size, bytes.fromhex), (raw, -(-8 * size // 5), lambda x: base64.b32decode(x + "=" * (-len(x) % 8)))):
+        try:
+            if len(text) == whole:
+                return name, decode(text).hex()
+        except ValueError:
+            continue
+    return None
 
 
 def records(raw: BinaryIO, chunk_bytes: int = CHUNK) -> Iterator[dict]:
@@ -220,66 +238,148 @@ def read_chunks(paths: DataFrame, *, chunk_bytes: int = CHUNK) -> DataFrame:
 
 
 def _of_file(path: str, chunk_bytes: int) -> Iterator[dict]:
+    """The file's rows; what keeps it from being opened or read on is a row with `error`, not an exception."""
+    fault = {"path": path, "record_no": 0, "chunk_no": 0, "byte_offset": 0, "n_bytes": 0, "is_last": True}
     try:
         fs, at = pafs.FileSystem.from_uri(path)
         stream = fs.open_input_stream(at, compression=None)
-    except OSError as e:
-        yield {"path": path, "record_no": 0, "chunk_no": 0, "byte_offset": 0, "n_bytes": 0, "is_last": True, "error": f"unreadable: {type(e).__name__}"}
+    except (OSError, ValueError) as e:  # ValueError: no URI, or a scheme that is unknown
+        yield fault | {"error": f"unreadable: {type(e).__name__}"}
         return
     with stream:
-        for row in records(stream, chunk_bytes):
-            yield {"path": path} | row
+        try:
+            for row in records(stream, chunk_bytes):
+                fault["record_no"] = row["record_no"] + 1
+                yield {"path": path} | row
+        except OSError as e:
+            yield fault | {"error": f"reading broke off: {type(e).__name__}"}
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in _FIELDS], names=[n for n, _ in _FIELDS])
 
 
+def record_name(key: object) -> str:
+    """The record id of a row's key: percent-encoded, so that no key can end a header line or the id."""
+    return "urn:norow" if key is None else "urn:row:" + quote(str(key), safe="")
+
+
+def _head(record_id: str, uri: str | None, content_type: str, size: int, sha256: str | None) -> bytes:
+    clean = lambda x: " ".join(x.split())
+    lines = [
+        "WARC/1.1", "WARC-Type: resource", f"WARC-Record-ID: <{quote(record_id, safe=':/?#[]@!$&()*+,;=%-._~')}>", *([f"WARC-Target-URI: {clean(uri)}"] if uri is not None else []),
+        "WARC-Date: 1970-01-01T00:00:00Z", f"Content-Type: {clean(content_type)}", *([f"WARC-Block-Digest: sha256:{sha256}"] if sha256 else []), f"Content-Length: {size}",
+    ]
+    return ("\r\n".join(lines) + "\r\n\r\n").encode()
+
+
 def write_record(out: BinaryIO, record_id: str, uri: str | None, payload: bytes, content_type: str) -> int:
-    """One resource record; returns its bytes."""
-    clean = "" if uri is None else " ".join(uri.split())
-    head = (
-        f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <{record_id}>\r\n"
-        + (f"WARC-Target-URI: {clean}\r\n" if uri is not None else "")
-        + "WARC-Date: 1970-01-01T00:00:00Z\r\n"
-        + f"Content-Type: {content_type}\r\nWARC-Block-Digest: sha256:{hashlib.sha256(payload).hexdigest()}\r\nContent-Length: {len(payload)}\r\n\r\n"
-    ).encode()
+    """One resource record; returns its bytes. Blanks and line ends within header values become single blanks."""
+    head = _head(record_id, uri, content_type, len(payload), hashlib.sha256(payload).hexdigest())
     for x in (head, payload, b"\r\n\r\n"):
         out.write(x)
     return len(head) + len(payload) + 4
 
 
+def write_chunks(chunks: DataFrame, folder: str) -> DataFrame:
+    """Write chunk rows, as read_chunks() gives them, as WARC files; rows are (path, records, bytes), as of write_warc().
+
+    Chunks of a record come together by shuffle and sort and are written one by one: no record stands in
+    memory. Rows with an error and rows of records without their last chunk are passed over; rows that
+    repeat a chunk are written once. Other columns are unused.
+    """
+    record = ["path", "record_no"]
+    sound = chunks.where("error is null and payload is not null").select(*record, "record_id", "target_uri", "content_type", "content_length", "chunk_no", "byte_offset", "payload", "is_last", "sha256")
+    whole = sound.where("is_last").groupBy(*record).agg(F.max("sha256").alias("whole"))
+    rows = sound.drop("is_last", "sha256").join(whole, record).repartition(*record).sortWithinPartitions(*record, "chunk_no")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with _NewFile(folder) as file:
+            now, left = None, 0
+            for batch in batches:
+                for path, number, key, uri, kind, size, _, offset, payload, digest in zip(*batch.columns, strict=True):
+                    if now != (path.as_py(), number.as_py()):
+                        if left:
+                            raise ValueError(f"chunks are missing of record {now}")
+                        now, left = (path.as_py(), number.as_py()), size.as_py()
+                        file.write(_head(key.as_py() or f"urn:uuid:{uuid.uuid4()}", uri.as_py(), kind.as_py() or "application/octet-stream", left, digest.as_py()), 1)
+                        if not left:
+                            file.write(b"\r\n\r\n", 0)
+                    if left and offset.as_py() == size.as_py() - left:
+                        raw = payload.as_buffer()
+                        file.write(raw, 0)
+                        left -= raw.size
+                        if not left:
+                            file.write(b"\r\n\r\n", 0)
+            if left:
+                raise ValueError(f"chunks are missing of record {now}")
+        yield from file.row()
+
+    columns = [*record, "record_id", "target_uri", "content_type", "content_length", "chunk_no", "byte_offset", "payload", "whole"]
+    return rows.select(*columns).mapInArrow(run, _FILES)
+
+
+_FILES = "path string, records bigint, bytes bigint"
+
+
+class _NewFile:
+    """A file of a task's own in folder, which appears under its name when it is whole."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder, self.records, self.size = folder.rstrip("/"), 0, 0
+        self.fs, self.base = pafs.FileSystem.from_uri(folder)
+        self.fs.create_dir(self.base, recursive=True)
+        self.name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc"
+        self.out = self.fs.open_output_stream(os.path.join(self.base, self.name + ".tmp"))
+
+    def __enter__(self) -> _NewFile:
+        return self
+
+    def write(self, raw: bytes | pa.Buffer, records: int) -> None:
+        self.out.write(raw)
+        self.records += records
+        self.size += len(raw)
+
+    def __exit__(self, kind: object, *_: object) -> None:
+        self.out.close()
+        at = os.path.join(self.base, self.name)
+        if kind is None and self.records:
+            self.fs.move(at + ".tmp", at)
+        else:
+            self.fs.delete_file(at + ".tmp")
+
+    def row(self) -> Iterator[pa.RecordBatch]:
+        if self.records:
+            yield pa.RecordBatch.from_pydict({"path": [f"{self.folder}/{self.name}"], "records": [self.records], "bytes": [self.size]})
+
+
 def write_warc(pages: DataFrame, folder: str, *, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", content_type: str = "text/html") -> DataFrame:
     """Write each partition as a WARC file in folder, which all executors must share; rows are (path, records, bytes).
 
     The folder is a URI. A file appears under its name when it is whole, and a repeated task makes its
     own file, so lost executors and speculative tasks can't mix up files: only the files that the
     returned rows name count, and the rows must be written out once, not computed twice. A null payload
-    is a record of no bytes, a null id has the record id `urn:row:null`.
+    is a record of no bytes; the record id is record_name() of the id, whatever its type.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(folder)
-        fs.create_dir(base, recursive=True)
-        name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc"
-        count = size = 0
-        with fs.open_output_stream(os.path.join(base, name + ".tmp")) as out:
+        with _NewFile(folder) as file:
             for batch in batches:
                 for key, uri, payload in zip(*batch.columns, strict=True):
-                    raw = payload.as_buffer() if payload.is_valid else b""
-                    size += write_record(out, f"urn:row:{key.as_py() if key.is_valid else 'null'}", uri.as_py(), raw if isinstance(raw, bytes) else memoryview(raw), content_type)
-                    count += 1
-        fs.move(os.path.join(base, name + ".tmp"), os.path.join(base, name))
-        if count:
-            yield pa.RecordBatch.from_pydict({"path": [folder.rstrip("/") + "/" + name], "records": [count], "bytes": [size]})
+                    raw = memoryview(payload.as_buffer()) if payload.is_valid else b""
+                    file.size += write_record(file.out, record_name(key.as_py()), uri.as_py(), raw, content_type)
+                    file.records += 1
+        yield from file.row()
 
-    return pages.select(id_col, F.col(uri_col).cast("string"), F.col(payload_col)).mapInArrow(run, "path string, records bigint, bytes bigint")
+    columns = [F.col(f"`{id_col}`").alias("i"), F.col(f"`{uri_col}`").cast("string").alias("u"), F.col(f"`{payload_col}`").alias("p")]
+    return pages.select(*columns).mapInArrow(run, _FILES)
 
 
-def round_trip(spark: SparkSession, pages: DataFrame, *, chunk_bytes: int = CHUNK) -> DataFrame:
-    """pages (page_id, url, html) written as WARC files in the shared folder and read as chunk rows with page_id."""
+def round_trip(spark: SparkSession, pages: DataFrame, *, chunk_bytes: int = CHUNK, id_col: str = "page_id") -> DataFrame:
+    """pages (page_id, url, html) written as WARC files in the shared folder and read as chunk rows with the page's id."""
     from graphloom.llm.shared import fresh_path, written
 
-    files = written(write_warc(pages, fresh_path(spark, "warc")), "warc-files")
+    files = written(write_warc(pages, fresh_path(spark, "warc"), id_col=id_col), "warc-files")
     chunks = read_chunks(files.repartition(max(1, spark.sparkContext.defaultParallelism * 2), "path"), chunk_bytes=chunk_bytes)
-    return chunks.withColumn("page_id", F.regexp_extract("record_id", r"^urn:row:(-?\d+)$", 1).try_cast("bigint")).drop("path", "record_no")
+    key = F.when(F.col("record_id").startswith("urn:row:"), F.expr("url_decode(substring(record_id, 9))"))
+    return chunks.withColumn(id_col, key.cast(pages.schema[id_col].dataType)).drop("path", "record_no")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import io
@@ -7,7 +8,7 @@ import random
 
 import pytest
 
-from graphloom.llm.warc import read_chunks, records, round_trip, write_record
+from graphloom.llm.warc import read_chunks, records, round_trip, write_chunks, write_record
 
 
 def file_of(payloads, gz=False):
@@ -115,3 +116,58 @@ def test_a_page_of_a_very_long_uri_stays(spark):
     pages = spark.createDataFrame([(k, "u" * (200_000 if k == 3 else 5), f"<{k}>") for k in range(8)], "page_id long, url string, html string").coalesce(1)
     got = round_trip(spark, pages).collect()
     assert sorted((r["page_id"], len(r["target_uri"]), bytes(r["payload"]).decode()) for r in got) == [(k, 200_000 if k == 3 else 5, f"<{k}>") for k in range(8)]
+
+
+def test_no_length_loops_or_ends_the_file():
+    bad = b"WARC/1.0\r\nContent-Length: -5\r\n\r\nhello\r\n\r\n"
+    rows = list(records(io.BytesIO(bad + file_of([b"good"]))))
+    assert [bool(r.get("error")) for r in rows] == [True, False] and rows[1]["payload"] == b"good"
+
+
+@pytest.mark.parametrize("name", ["md5", "sha1", "sha256", "SHA-1"])
+def test_digests_in_hex_and_base_32(name):
+    raw = hashlib.new(name.lower().replace("-", ""), b"hi").digest()
+    for text, want in ((raw.hex(), True), (base64.b32encode(raw).decode(), True), (base64.b32encode(raw).decode().rstrip("=").lower(), True), (base64.b32encode(raw[1:] + b"x").decode(), False), ("ABC", None)):
+        file = f"WARC/1.0\r\nWARC-Block-Digest: {name}:{text}\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n".encode()
+        assert [r["digest_ok"] for r in records(io.BytesIO(file))] == [want], text
+
+
+def test_paths_that_are_none_and_reads_that_break_off(spark, tmp_path, monkeypatch):
+    (tmp_path / "ok.warc").write_bytes(file_of([b"x"]))
+    paths = [("plain/path.warc",), ("nosuch://a/b",), (f"file://{tmp_path}",), (f"file://{tmp_path}/ok.warc",)]
+    found = {r["path"]: r["error"] for r in read_chunks(spark.createDataFrame(paths, "path string")).collect()}
+    assert [bool(found[p]) for (p,) in paths] == [True, True, True, False]
+
+    from graphloom.llm import warc
+
+    def broken(stream, chunk):
+        yield from list(records(io.BytesIO(file_of([b"x"]))))
+        raise OSError("gone")
+
+    monkeypatch.setattr(warc, "records", broken)
+    rows = list(warc._of_file(f"file://{tmp_path}/ok.warc", 9))
+    assert [r.get("error") for r in rows] == [None, "reading broke off: OSError"] and rows[1]["record_no"] == 1
+
+
+def test_ids_of_any_type_come_back_and_end_no_line(spark):
+    ids = ["a", "x>\r\nContent-Length: 0\r\n\r\n", "null", None, "ü + %41"]
+    pages = spark.createDataFrame([(i, "u", f"<{i}>") for i in ids], "key string, url string, html string")
+    got = {r["key"]: bytes(r["payload"]).decode() for r in round_trip(spark, pages, id_col="key").collect()}
+    assert got == {i: f"<{i}>" for i in ids}
+
+
+def test_chunks_become_records_again(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(file_of(PAYLOADS))
+    (tmp_path / "b.warc.gz").write_bytes(file_of(PAYLOADS[::-1], True))
+    read = lambda paths: read_chunks(spark.createDataFrame([(p,) for p in paths], "path string"), chunk_bytes=70)
+    chunks = read([f"file://{tmp_path}/a.warc", f"file://{tmp_path}/b.warc.gz"]).cache()
+    files = write_chunks(chunks.union(chunks.limit(3)), f"file://{tmp_path}/out").collect()
+    assert sum(r["records"] for r in files) == 2 * len(PAYLOADS)
+    again = read([r["path"] for r in files]).collect()
+    got = {}
+    for r in sorted(again, key=lambda r: (r["path"], r["record_no"], r["chunk_no"])):
+        assert r["error"] is None and r["digest_ok"] in (None, True)
+        got.setdefault((r["path"], r["record_no"]), b"")
+        got[r["path"], r["record_no"]] += bytes(r["payload"])
+    assert sorted(got.values()) == sorted(PAYLOADS * 2)
+    assert write_chunks(chunks.limit(0), f"file://{tmp_path}/out").collect() == []
