@@ -4,7 +4,7 @@ A logistic classifier, fitted on a bounded sample of labelled documents, gives e
 evidence. Hosts and paths within hosts get posterior rates of good documents by grouped aggregation of
 that evidence over all documents: a path is shrunk toward its host, a host toward the whole, each by a
 strength that the spread between groups determines. A document's log-odds are its evidence, moved by
-how far its path's posterior lies from the global rate.
+how far its path's posterior, by the evidence of the other documents there, lies from the global rate.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from graphloom.llm.shared import written
 
 #: Documents of the labelled sample; the only part of the input that is bounded.
 SAMPLE = 6_000
-#: Words that the classifier may use, and the least chi-square of a word.
-WORDS, CHI2 = 256, 40.0
+#: Chi-square at which a word's prior variance is half of what it is for the most telling words.
+CHI2 = 15.0
 #: Evidence of a document is held to these log-odds.
 CLIP = 12.0
 
@@ -99,7 +99,12 @@ class Model:
 
 
 def fit(dense: np.ndarray, bags: list[np.ndarray], good: np.ndarray, ridge: float = 0.3) -> Model:
-    """Logistic regression by Newton steps, on style measures and on words whose chi-square is high."""
+    """Logistic regression on the style measures and all words that two documents of the sample have.
+
+    Every word has a prior of its own: normal around 0, the tighter the less the word's presence differs
+    between good and bad documents (by chi-square). So telling words carry the evidence, and the many that
+    stand in a document by chance don't spread it thin. Newton steps, each solved by conjugate gradients.
+    """
     n = len(good)
     base = (good.sum() + 1) / (n + 2)
     if n == 0 or good.all() or not good.any():
@@ -108,29 +113,43 @@ def fit(dense: np.ndarray, bags: list[np.ndarray], good: np.ndarray, ridge: floa
         return Model(bias, np.empty(0, np.uint64), np.empty(0), base)
     values, text = np.concatenate(bags), np.repeat(np.arange(n), [len(b) for b in bags])
     words, code = np.unique(values, return_inverse=True)
-    seen = np.bincount(code, minlength=len(words)).astype(float)
-    bad = np.bincount(code, weights=~good[text], minlength=len(words))
-    rate = 1 - good.mean()
+    several = np.bincount(code, minlength=len(words)) > 1
+    column = np.cumsum(several) - 1
+    hit = several[code]
+    text, code, words = text[hit], column[code[hit]], words[several]
+    k, rate = len(words), 1 - good.mean()
+    seen = np.bincount(code, minlength=k).astype(float)
+    bad = np.bincount(code, weights=~good[text], minlength=k)
     chi = (bad - seen * rate) ** 2 / (seen * rate * (1 - rate)) * n / np.maximum(n - seen, 1)
-    picked = np.flatnonzero((seen >= 5) & (chi >= CHI2) & (bad > seen * rate))
-    picked = np.sort(picked[np.lexsort((words[picked], -chi[picked]))[:WORDS]])
-    column = np.full(len(words), -1)
-    column[picked] = np.arange(len(picked))
-    x = np.zeros((n, DENSE + len(picked)))
-    x[:, :DENSE] = dense
-    hit = column[code] >= 0
-    x[text[hit], DENSE + column[code[hit]]] = 1
-    penalty = np.full(x.shape[1], ridge)
-    penalty[:DENSE] = 0.01
-    beta = np.zeros(x.shape[1])
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        gradient = x.T @ (good - p) - penalty * beta
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), gradient)
+    penalty = np.concatenate([np.full(DENSE, 0.01), np.minimum(1e9, ridge * (1 + (CHI2 / np.maximum(chi, 1e-3)) ** 3))])
+
+    def forward(v: np.ndarray) -> np.ndarray:
+        return dense @ v[:DENSE] + np.bincount(text, weights=v[DENSE:][code], minlength=n)
+
+    def backward(u: np.ndarray) -> np.ndarray:
+        return np.concatenate([dense.T @ u, np.bincount(code, weights=u[text], minlength=k)])
+
+    beta = np.zeros(DENSE + k)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(forward(beta), -30, 30)))
+        gradient, w = backward(good - p) - penalty * beta, p * (1 - p)
+        scale = penalty + np.concatenate([(dense**2 * w[:, None]).sum(axis=0), np.bincount(code, weights=w[text], minlength=k)])
+        step, rest = np.zeros_like(beta), gradient.copy()
+        z = rest / scale
+        way, size = z.copy(), rest @ z
+        for _ in range(60):
+            turned = backward(w * forward(way)) + penalty * way
+            far = size / (way @ turned)
+            step += far * way
+            rest -= far * turned
+            if np.abs(rest).max() <= 1e-7 * np.abs(gradient).max():
+                break
+            z = rest / scale
+            way, size = z + rest @ z / size * way, rest @ z
         beta += step * min(1.0, 4 / (np.abs(step).max() + 1e-12))
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-5:
             break
-    return Model(beta[:DENSE], words[picked], beta[DENSE:], base)
+    return Model(beta[:DENSE], words, beta[DENSE:], base)
 
 
 def _sketch(words: np.ndarray) -> bytes:
@@ -161,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col: s
         .groupBy("label_id").agg(F.min("label_good").alias("label_good"))
         .orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
     )
-    rows = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("t")).where("t is not null")
+    rows = docs.select(F.col(f"`{id_col}`").alias("label_id"), F.col(f"`{text_col}`").alias("t")).where("t is not null")
     rows = rows.join(F.broadcast(chosen), "label_id").select("label_id", "label_good", "t")  # bounded by `sample`
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,37 +201,37 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col: s
     return fit(dense, bags, np.array(found["good"].to_pylist(), bool))
 
 
-def with_evidence(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (all by default) and q_logit, a document's own log-odds."""
-    docs = docs.drop("q_logit")
-    keep = [c for c in (docs.columns if keep is None else keep)]
-    where = docs.columns.index(text_col)
-    at = [docs.columns.index(c) for c in keep]
+def _evidence(rows: DataFrame, model: Model, text: int, keep: list[int]) -> DataFrame:
+    """The columns at `keep` of rows, and q_logit, a document's own log-odds; names of rows must be free of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in at), pa.array(model.logits(batch.column(where)))], names=[*keep, "q_logit"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(model.logits(batch.column(text)))], names=[*(batch.schema.names[i] for i in keep), "q_logit"])
 
-    return docs.mapInArrow(run, T.StructType([docs.schema[c] for c in keep] + [T.StructField("q_logit", T.DoubleType())]))
+    return rows.mapInArrow(run, T.StructType([rows.schema[i] for i in keep] + [T.StructField("q_logit", T.DoubleType())]))
 
 
 def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def site_posteriors(evidence: DataFrame) -> DataFrame:
-    """From (q_host, q_path, q_logit): a row a path with q_host_rate, q_path_rate and q_global.
+#: A document's own evidence as whole millionths, so that no order of addition shows.
+_P = "cast(round(1e6 / (1 + exp(-q_logit))) as bigint)"
+
+
+def site_sums(evidence: DataFrame) -> DataFrame:
+    """From (q_host, q_path, q_logit): a row a path with its sums (n, s), its host's (hn, hs), the global rate g and the strengths host_k, path_k.
 
-    Rates are summed as whole millionths, so that no order of addition shows. Strengths come from the
-    spread between groups beyond what their sizes explain (method of moments), between 1 and a million.
+    Strengths come from the spread between groups beyond what their sizes explain (method of moments),
+    between 1 and a million.
     """
-    p = F.round(1e6 / (1 + F.exp(-F.col("q_logit")))).cast("bigint")
-    paths = evidence.select("q_host", "q_path", p.alias("p")).groupBy("q_host", "q_path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.expr("p * p div 1000000")).alias("ss"))
+    paths = evidence.select("q_host", "q_path", F.expr(_P).alias("p")).groupBy("q_host", "q_path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.expr("p * p div 1000000")).alias("ss"))
+    paths = written(paths, "paths")
     hosts = paths.groupBy("q_host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("ss").alias("hss"))
     whole = hosts.agg(F.sum("hn").alias("gn"), F.sum("hs").alias("gs"), F.sum("hss").alias("gss"), F.sum(F.expr("double(hn) * hn")).alias("gn2"), F.count("*").alias("gk"))
     rate = lambda s, n: f"({s} / 1e6 / {n})"
 
-    def strength(groups: DataFrame, s: str, n: str, mean: str, k: str, total: str, squares: str, within: str) -> Column:
+    def strength(s: str, n: str, mean: str, k: str, total: str, squares: str, within: str) -> Column:
         between = F.sum(F.expr(f"{n} * power({rate(s, n)} - {mean}, 2)"))
         spread = (between - (F.max(k) - 1) * F.max(within)) / F.greatest(F.lit(1.0), F.max(total) - F.max(squares) / F.max(total))
         m = F.max("g")
@@ -221,52 +240,54 @@ def site_posteriors(evidence: DataFrame) -> DataFrame:
     g = whole.select("gn", "gn2", "gk", F.expr("least(1 - 1e-4, greatest(1e-4, gs / 1e6 / gn))").alias("g"), F.expr("greatest(1e-9, gss / 1e6 / gn - power(gs / 1e6 / gn, 2))").alias("within"))
     one = F.broadcast  # single rows
     h = hosts.crossJoin(one(g))
-    host_strength = h.agg(strength(h, "hs", "hn", "g", "gk", "gn", "gn2", "within").alias("host_k"))
-    hosts = h.crossJoin(one(host_strength)).select("q_host", "hn", "hs", "g", "gn", "within", F.expr("(hs / 1e6 + host_k * g) / (hn + host_k)").alias("q_host_rate"))
+    host_strength = h.agg(strength("hs", "hn", "g", "gk", "gn", "gn2", "within").alias("host_k"))
+    hosts = h.crossJoin(one(host_strength)).select("q_host", "hn", "hs", "g", "gn", "within", "host_k", F.expr("(hs / 1e6 + host_k * g) / (hn + host_k)").alias("mean"))
     size = paths.agg(F.count("*").alias("pk"), F.sum(F.expr("double(n) * n")).alias("pn2"))
     x = paths.join(hosts.withColumnRenamed("q_host", "h"), F.col("q_host").eqNullSafe(F.col("h"))).drop("h").crossJoin(one(size))
-    path_strength = x.agg(strength(x, "s", "n", "q_host_rate", "pk", "gn", "pn2", "within").alias("path_k"))
-    return x.crossJoin(one(path_strength)).select(
-        F.col("q_host").alias("site_host"), F.col("q_path").alias("site_path"), F.col("g").alias("q_global"), "q_host_rate",
-        F.expr("least(1 - 1e-4, greatest(1e-4, (s / 1e6 + path_k * q_host_rate) / (n + path_k)))").alias("q_path_rate"),
-    )
+    path_strength = x.agg(strength("s", "n", "mean", "pk", "gn", "pn2", "within").alias("path_k"))
+    return x.crossJoin(one(path_strength)).select(F.col("q_host").alias("site_host"), F.col("q_path").alias("site_path"), "n", "s", "hn", "hs", "g", "host_k", "path_k")
 
 
 def _judged(evidence: DataFrame, sites: DataFrame) -> DataFrame:
+    """evidence with q_global, q_host_rate, q_path_rate and q_posterior; the rates leave out the document itself."""
     on = F.col("q_host").eqNullSafe(F.col("site_host")) & F.col("q_path").eqNullSafe(F.col("site_path"))
     moved = F.col("q_logit") + _logit(F.col("q_path_rate")) - _logit(F.col("q_global"))
-    return evidence.join(sites, on).withColumn("q_posterior", 1 / (1 + F.exp(-moved))).drop("site_host", "site_path")
-
-
-def _sited(docs: DataFrame, host: str, path: str) -> DataFrame:
-    return docs.withColumns({"q_host": F.expr(host).cast("string"), "q_path": F.expr(path).cast("string")})
+    return (
+        evidence.join(sites, on).withColumn("q_own", F.expr(_P)).withColumnRenamed("g", "q_global")
+        .withColumn("q_host_rate", F.expr("((hs - q_own) / 1e6 + host_k * q_global) / (hn - 1 + host_k)"))
+        .withColumn("q_path_rate", F.expr("least(1 - 1e-4, greatest(1e-4, ((s - q_own) / 1e6 + path_k * q_host_rate) / (n - 1 + path_k)))"))
+        .withColumn("q_posterior", 1 / (1 + F.exp(-moved)))
+        .drop("site_host", "site_path", "n", "s", "hn", "hs", "host_k", "path_k", "q_own")
+    )
 
 
 def score(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: str = "lang", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every document: id, q_host, q_path, q_logit, q_global, q_host_rate, q_path_rate, q_posterior.
 
-    host and path are SQL expressions; documents here have a source and, below it, a language in place
-    of a URL. Null hosts and paths are sites of their own. Null and empty texts are judged by the style
-    measures of an empty text. Repeated rows are scored alike; without usable labels the evidence is a
-    constant. An empty table gives no rows.
+    host and path are SQL expressions over docs, such as parse_url(url, 'HOST') and parse_url(url, 'PATH');
+    documents here have a source and, below it, a language in place of a URL. Rates are those of the other
+    documents of the host and path, so that no document's evidence counts twice. Null hosts and paths are
+    sites of their own. Null and empty texts are judged by the style measures of an empty text. Repeated
+    rows are scored alike, each counting in its site; without usable labels the evidence is a constant. A
+    posterior of the threshold itself is kept. An empty table gives no rows. Ids may be of any type.
     """
     model = train(docs, labels, sample=sample, id_col=id_col, text_col=text_col)
-    rows = _sited(docs, host, path).select(F.col(id_col), "q_host", "q_path", F.col(text_col).alias("q_text"))
-    evidence = written(with_evidence(rows, model, "q_text", [id_col, "q_host", "q_path"]), "quality")
-    return _judged(evidence, site_posteriors(evidence))
+    rows = docs.select(F.col(f"`{id_col}`").alias("q_id"), F.expr(host).cast("string").alias("q_host"), F.expr(path).cast("string").alias("q_path"), F.col(f"`{text_col}`").alias("q_text"))
+    evidence = written(_evidence(rows, model, 3, [0, 1, 2]), "quality")
+    judged = _judged(evidence, written(site_sums(evidence), "sites"))
+    return judged.select(F.col("q_id").alias(id_col), "q_host", "q_path", "q_logit", "q_global", "q_host_rate", "q_path_rate", "q_posterior")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, host: str = "source", path: str = "lang", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, in their columns, whose posterior reaches threshold. See score().
 
-    The texts are read twice and never shuffled; site posteriors are written between.
+    Texts are featured once and written with their evidence; site posteriors come from the narrow columns
+    of that table. Sites of a small table go to every executor; a larger one is joined by a shuffle.
     """
-    columns = docs.columns
     model = train(docs, labels, sample=sample, id_col=id_col, text_col=text_col)
+    width = len(docs.columns)
     # Numbered columns can't clash with those that are added.
-    sited = {"q_host": F.expr(host).cast("string"), "q_path": F.expr(path).cast("string")}
-    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)), *(e.alias(n) for n, e in sited.items()))
-    text = f"c{columns.index(text_col)}"
-    sites = written(site_posteriors(with_evidence(rows.select("q_host", "q_path", text), model, text, ["q_host", "q_path"])), "sites")
-    judged = _judged(with_evidence(rows, model, text), sites)
-    return judged.where(F.col("q_posterior") >= threshold).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))
+    rows = docs.select("*", F.expr(host).cast("string"), F.expr(path).cast("string")).toDF(*(f"c{i}" for i in range(width)), "q_host", "q_path")
+    evidence = written(_evidence(rows, model, docs.columns.index(text_col), list(range(width + 2))), "quality")
+    judged = _judged(evidence, written(site_sums(evidence), "sites"))
+    return judged.where(F.col("q_posterior") >= threshold).select(*(f"c{i}" for i in range(width))).toDF(*docs.columns)
