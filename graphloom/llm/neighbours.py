@@ -1,14 +1,17 @@
 """Operator 6: nearest neighbours by a block matrix join with int8 tiles.
 
-Vectors are packed into blocks. A tile is a pair of blocks: the product of their int8 codes bounds every
-inner product from both sides, the bounds rule out most pairs, and what survives is computed again in
-float. Tiles of one query block are merged by heaps. With every tile joined, the result is exact.
+Vectors are packed into blocks, which are quantised once. A tile is a pair of blocks and serves the queries
+of both: the product of their int8 codes bounds every inner product from both sides, the bounds rule out
+most pairs, and what survives is computed again in float. The tiles' results are merged by heaps. With
+every tile joined, the result is exact.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.shared import written
+from graphloom.llm.shared import whole_ids, written
 
-#: Vectors in a block.
-BLOCK = 4096
-#: Rows of a tile's product that stand in memory at once.
-STRIPE = 512
+#: Most bytes of codes and components of a block.
+BLOCK_BYTES = 32 << 20
+#: Rows of a tile's product that stand in memory at once, and the columns of which a query's bar takes one value.
+STRIPE, PART = 256, 32
+#: Components whose products of int8 codes sum exactly in float32: 1040 * 127**2 < 2**24.
+EXACT = 1040
+_FIELDS = ("ids", "data", "norm", "codes", "scale", "error")
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -32,106 +38,164 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, np.linalg.norm(x - codes * scale[:, None], axis=1)
 
 
-def tile(q: np.ndarray, x: np.ndarray, qid: np.ndarray, xid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of q, row of x, cosine) of each query's k nearest rows of x other than those of its own number.
+class Block:
+    """Ids, components, norms, and the codes of the rows at length one, with their scales and errors."""
 
-    q, x: float64 rows of length one, or zero. Ties of the cosine go to the smaller number.
-    """
-    a, sa, ea = quantise(q)
-    b, sb, eb = quantise(x)
-    # Products of int8 codes are whole numbers; their sums stay exact in float64, where BLAS multiplies.
-    bt = np.ascontiguousarray(b.astype(np.float64).T)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for r in range(0, len(q), STRIPE):
-        rows = slice(r, r + STRIPE)
-        mid = (a[rows].astype(np.float64) @ bt) * sa[rows, None] * sb
-        # q.x - q'.x' = (q - q').x + q'.(x - x'), and |x| <= 1, |q'| <= 1 + |q - q'|
-        slack = ea[rows, None] + (1 + ea[rows, None]) * eb + 1e-12
-        same = qid[rows, None] == xid
-        least = np.where(same, -np.inf, mid - slack)
-        if len(x) > k:
-            bar = np.partition(least, len(x) - k, axis=1)[:, len(x) - k]
-        else:
-            bar = np.full(len(mid), -np.inf)
-        i, j = np.nonzero((mid + slack >= bar[:, None]) & ~same)
-        exact = np.empty(len(i))
-        for s in range(0, len(i), 1 << 16):
-            p = slice(s, s + (1 << 16))
-            exact[p] = np.einsum("ij,ij->i", q[r + i[p]], x[j[p]])
-        by = np.lexsort((xid[j], -exact, i))
-        i, j, exact = i[by], j[by], exact[by]
-        place = np.arange(len(i)) - np.searchsorted(i, i, "left")
-        keep = place < k
-        out.append((r + i[keep], j[keep], exact[keep]))
-    return tuple(np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.empty(0, int), np.empty(0, int), np.empty(0))
-
-
-def _unit(raw: pa.Scalar, dimension: int, kind: np.dtype) -> np.ndarray:
-    """A block's rows, brought to length one."""
-    x = np.frombuffer(raw.as_buffer(), kind).reshape(-1, dimension).astype(np.float64)
-    size = np.linalg.norm(x, axis=1)
-    return x / np.where(size > 0, size, 1)[:, None]
-
-
-def _blocks(vectors: DataFrame, id_col: str, vector_col: str, dimension: int, block: int, kind: np.dtype) -> DataFrame:
-    """(b, ids, data): packed vectors, a block a row."""
-    n = vectors.count()
-    count = max(1, -(-n // block))
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"))
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
-
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, parts = [], []
-        for batch in batches:
-            ids.append(batch.column("id").to_numpy())
-            parts.append(batch.column("v").flatten().to_numpy().reshape(-1, dimension))
-        i, x = np.concatenate(ids), np.concatenate(parts)
-        by = np.argsort(i, kind="stable")
-        i, x = i[by], x[by]
-        yield pa.RecordBatch.from_pydict({"b": pa.array([key[0].as_py()], pa.int32()), "ids": [i.astype(np.int64).tobytes()], "data": [x.astype(kind).tobytes()]})
+    def __init__(self, ids: np.ndarray, data: np.ndarray, norm: np.ndarray, codes: np.ndarray, scale: np.ndarray, error: np.ndarray) -> None:
+        self.ids, self.data, self.norm, self.codes, self.scale, self.error = ids, data, norm, codes, scale, error
+
+    @staticmethod
+    def of(ids: np.ndarray, data: np.ndarray) -> Block:
+        size = np.linalg.norm(data.astype(np.float64), axis=1)
+        norm = np.where(size > 0, size, 1)
+        return Block(ids, data, norm, *quantise(data / norm[:, None]))
+
+    @staticmethod
+    def unpacked(row: dict[str, pa.Scalar], dimension: int, kind: np.dtype) -> Block:
+        kinds = (np.int64, kind, np.float64, np.int8, np.float64, np.float64)
+        parts = [np.frombuffer(row[n].as_buffer(), k) for n, k in zip(_FIELDS, kinds, strict=True)]
+        return Block(parts[0], parts[1].reshape(-1, dimension), parts[2], parts[3].reshape(-1, dimension), *parts[4:])
+
+    def packed(self) -> dict[str, list[bytes]]:
+        return {n: [np.ascontiguousarray(getattr(self, n)).tobytes()] for n in _FIELDS}
+
+    @cached_property
+    def unit(self) -> np.ndarray:
+        """The rows at length one."""
+        return self.data / self.norm[:, None]
+
+
+def code_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows of int8 codes. They are whole numbers and exact: float32 holds sums over EXACT components."""
+    out = a[:, :EXACT].astype(np.float32) @ b[:, :EXACT].astype(np.float32).T
+    for c in range(EXACT, a.shape[1], EXACT):
+        out = out.astype(np.float64) + a[:, c : c + EXACT].astype(np.float32) @ b[:, c : c + EXACT].astype(np.float32).T
+    return out
 
-    return rows.groupBy("b").applyInArrow(run, "b int, ids binary, data binary")
 
+def survivors(product: np.ndarray, q_scale: np.ndarray, x_scale: np.ndarray, q_error: np.ndarray, x_error: float, k: int, seen: np.ndarray | None = None, part: int = PART) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, seen) of the pairs that may be among a row's k greatest inner products.
 
-def nearest(vectors: DataFrame, *, k: int = 10, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    product: of codes, -inf for pairs that don't count. q.x - q'.x' = (q - q').x + q'.(x - x'), and |x| <= 1,
+    |q'| <= 1 + |q - q'|, so an inner product lies within `slack` of that of the codes; a row's bar is the
+    k-th greatest lower bound, or something below it: the k-th greatest of the bests of parts of the row.
+    seen: greatest products of each row so far, in units of its scale, where its pairs come piece by piece.
+    """
+    mid = product * x_scale.astype(product.dtype)
+    slack = (q_error + (1 + q_error) * x_error) / q_scale + 1e-6 / q_scale  # in units of the row's scale; float32 rounds a product to some 1e-7
+    best = np.maximum.reduceat(mid, np.arange(0, mid.shape[1], part), axis=1) if mid.shape[1] >= 2 * part else mid
+    if seen is not None:
+        best = np.concatenate([seen, best], axis=1)
+    if best.shape[1] <= k:
+        bar, seen = np.full(len(mid), -np.inf), best
+    else:
+        seen = np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k :]
+        bar = seen[:, 0] - 2 * slack
+    i, j = np.nonzero((mid >= bar[:, None]) & (mid > -np.inf))
+    return i, j, seen
+
+
+def _ranked(q: Block, x: Block, i: np.ndarray, j: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of x, cosine) of each row's k greatest cosines among pairs; ties go to the smaller id of x."""
+    exact = np.empty(len(i))
+    for s in range(0, len(i), 1 << 15):
+        p = slice(s, s + (1 << 15))
+        exact[p] = np.round(np.einsum("ij,ij->i", q.unit[i[p]], x.unit[j[p]]), 12)
+    by = np.lexsort((x.ids[j], -exact, i))
+    i, j, exact = i[by], j[by], exact[by]
+    keep = np.arange(len(i)) - np.searchsorted(i, i, "left") < k
+    return i[keep], j[keep], exact[keep]
+
+
+def tile(a: Block, b: Block, k: int, own: bool = False) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Nearest rows of b for each row of a, and of a for each row of b, from one product; (row, row of the other, cosine).
+
+    own: a and b are one block; pairs of a row with itself don't count, and the second part is empty.
+    """
+    forth, back, seen = [], [], None
+    for r in range(0, len(a.ids), STRIPE):
+        rows = np.arange(r, min(r + STRIPE, len(a.ids)))
+        product = code_products(a.codes[rows], b.codes)
+        if own:
+            product[np.arange(len(rows)), rows] = -np.inf
+        i, j, _ = survivors(product, a.scale[rows], b.scale, a.error[rows], float(b.error.max(initial=0)), k)
+        forth.append(_ranked(a, b, rows[i], j, k))
+        if not own:
+            j, i, seen = survivors(np.ascontiguousarray(product.T), b.scale, a.scale[rows], b.error, float(a.error.max()), k, seen, 8)
+            back.append(_ranked(b, a, j, rows[i], k))
+    join = lambda parts: tuple(np.concatenate(z) for z in zip(*parts, strict=True)) if parts else (np.empty(0, int), np.empty(0, int), np.empty(0))
+    forth, back = join(forth), join(back)
+    if len(back[0]):  # of several stripes: a row's best of all
+        by = np.lexsort((a.ids[back[1]], -back[2], back[0]))
+        back = tuple(z[by] for z in back)
+        keep = np.arange(len(by)) - np.searchsorted(back[0], back[0], "left") < k
+        back = tuple(z[keep] for z in back)
+    return forth, back
+
+
+def nearest(vectors: DataFrame, *, k: int = 10, block_bytes: int = BLOCK_BYTES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, neighbour_id, rank, cosine) of the k nearest other vectors of every vector, by cosine.
 
     Every row is a query and every pair of blocks is a tile, so the result is exact; the work grows with
-    the square of the rows, and a task holds two blocks. Ranks are from 1; ties go to the smaller id.
-
-    Rows with a null id, a null vector, or a null or non-finite component are neither queries nor
-    neighbours. Vectors must have one length, that of most rows; others are left out. Repeated rows of an
-    id count once, the one of the greatest vector. A zero vector has cosine 0 to all. Fewer than k other
-    vectors give fewer rows; an empty table none. Other columns are unused.
+    the square of the rows. A block is sent to as many tiles as there are blocks, which are as few as
+    block_bytes and the number of cores allow. Ranks are from 1; cosines are rounded to 12 decimals, and
+    ties go to the smaller id.
+
+    Rows with a null id, a null or empty vector, or a null or non-finite component are neither queries nor
+    neighbours. Vectors of different lengths have no cosine: each has neighbours of its own length only.
+    Repeated rows of an id count once for each length, the one of the greatest vector. A zero vector has
+    cosine 0 to all. Fewer than k other vectors give fewer rows; an empty table none. Ids must be whole
+    numbers. Other columns are unused.
     """
     spark = vectors.sparkSession
-    sound = vectors.select(id_col, vector_col).where(
-        F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()
-        & F.forall(vector_col, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    )
-    common = sound.groupBy(F.size(vector_col).alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    schema = f"{id_col} bigint, neighbour_id bigint, rank bigint, cosine double"
-    if not common or common[0]["d"] == 0:
-        return spark.createDataFrame([], schema)
-    dimension = common[0]["d"]
+    whole_ids(vectors, id_col)
     kind = np.dtype(np.float32 if isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType) else np.float64)
-    sound = sound.withColumn(vector_col, F.col(vector_col).cast(f"array<{'float' if kind == np.float32 else 'double'}>"))
-    one = sound.where(F.size(vector_col) == dimension).groupBy(id_col).agg(F.max(vector_col).alias(vector_col))
-    packed = written(_blocks(one, id_col, vector_col, dimension, block, kind), "blocks")
-    left = packed.select(F.col("b").alias("qb"), F.col("ids").alias("qids"), F.col("data").alias("qdata"))
-    right = packed.select(F.col("b").alias("xb"), F.col("ids").alias("xids"), F.col("data").alias("xdata"))
-    tiles = left.crossJoin(right)
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sound = vectors.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vector_col}`").cast(f"array<{'float' if kind == np.float32 else 'double'}>").alias("v")).where(
+        F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    )
+    one = sound.withColumn("d", F.size("v")).groupBy("id", "d").agg(F.max("v").alias("v"))
+    sizes = {r["d"]: r["n"] for r in sound.select("id", F.size("v").alias("d")).distinct().groupBy("d").agg(F.count("*").alias("n")).collect()}
+    schema = "id bigint, neighbour_id bigint, rank bigint, cosine double"
+    names = [id_col, "neighbour_id", "rank", "cosine"]
+    if not sizes:
+        return spark.createDataFrame([], schema).toDF(*names)
+    # As few blocks as memory allows, but tiles for all cores: g blocks make g (g + 1) / 2 tiles.
+    least = math.ceil(math.sqrt(6 * spark.sparkContext.defaultParallelism))
+    most_rows = {d: max(1, block_bytes // (d * (kind.itemsize + 1) + 32)) for d in sizes}
+    blocks = {d: max(-(-n // most_rows[d]), min(least, -(-n // 512))) for d, n in sizes.items()}
+    counts = F.broadcast(spark.createDataFrame(list(blocks.items()), "d int, g int"))  # a row for each length of vectors
+    rows = one.join(counts, "d").withColumn("b", F.pmod(F.xxhash64("id"), "g").cast("int"))
+
+    def gather(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d, g, b = (x.as_py() for x in key)
+        ids, parts = [], []
+        for batch in batches:
+            ids.append(batch.column("id").to_numpy())
+            parts.append(batch.column("v").flatten().to_numpy().reshape(-1, d))
+        i, x = np.concatenate(ids), np.concatenate(parts)
+        by = np.argsort(i)
+        block = Block.of(i[by].astype(np.int64), x[by].astype(kind))
+        yield pa.RecordBatch.from_pydict({"d": pa.array([d], pa.int32()), "g": pa.array([g], pa.int32()), "b": pa.array([b], pa.int32()), **block.packed()})
+
+    packed = written(rows.groupBy("d", "g", "b").applyInArrow(gather, "d int, g int, b int, " + ", ".join(f"{n} binary" for n in _FIELDS)), "blocks")
+    other = F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o")
+    sides = packed.select("*", other).select("d", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", *_FIELDS)
+    tiles = min(100_000, sum(g * (g + 1) // 2 for g in blocks.values()))
+
+    def join(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d, i, j = (x.as_py() for x in key)
+        held = {}
         for batch in batches:
             for t in range(batch.num_rows):
                 row = {n: batch.column(n)[t] for n in batch.schema.names}
-                qid, xid = (np.frombuffer(row[c].as_buffer(), np.int64) for c in ("qids", "xids"))
-                q, x = (_unit(row[c], dimension, kind) for c in ("qdata", "xdata"))
-                i, j, c = tile(q, x, qid, xid, k)
-                yield pa.RecordBatch.from_pydict({"qb": pa.array([row["qb"].as_py()], pa.int32()), "q": [qid[i].tobytes()], "x": [xid[j].tobytes()], "c": [c.tobytes()]})
-
-    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                held[row["b"].as_py()] = Block.unpacked(row, d, kind)
+        if i not in held or j not in held:  # a block without rows
+            return
+        for b, q, x, (r, s, c) in zip((i, j), (held[i], held[j]), (held[j], held[i]), tile(held[i], held[j], k, i == j), strict=True):
+            if len(r):
+                yield pa.RecordBatch.from_pydict({"d": pa.array([d], pa.int32()), "b": pa.array([b], pa.int32()), "q": [q.ids[r].tobytes()], "x": [x.ids[s].tobytes()], "c": [c.tobytes()]})
+
+    def merge(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps: dict[int, list[tuple[float, int]]] = {}
         for batch in batches:
             for t in range(batch.num_rows):
@@ -145,8 +209,8 @@ def nearest(vectors: DataFrame, *, k: int = 10, block: int = BLOCK, id_col: str
         rows = [(a, -b, n, c) for a, heap in heaps.items() for n, (c, b) in enumerate(sorted(heap, reverse=True), 1)]
         if rows:
             a, b, n, c = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in (a, b, n)), pa.array(c, pa.float64())], names=[id_col, "neighbour_id", "rank", "cosine"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in (a, b, n)), pa.array(c, pa.float64())], names=["id", "neighbour_id", "rank", "cosine"])
 
-    spread = tiles.repartition(min(10_000, max(1, packed.count() ** 2)), "qb", "xb")
-    found = spread.mapInArrow(join, "qb int, q binary, x binary, c binary")
-    return found.groupBy("qb").applyInArrow(merge, schema)
+    key = ("d", "i", "j")
+    found = sides.repartition(tiles, *key).groupBy(*key).applyInArrow(join, "d int, b int, q binary, x binary, c binary")
+    return found.groupBy("d", "b").applyInArrow(merge, schema).toDF(*names)
