@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -48,8 +49,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def forget_shuffles(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that are through; it does so when their objects are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # Python's hold on them goes first
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def whole_ids(docs: DataFrame, id_col: str) -> None:
