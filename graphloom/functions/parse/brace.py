@@ -114,8 +114,10 @@ class _Source:
         return _blank(m[0])
 
     def _script(self, text: str) -> str:
-        """Strings, templates, regular expressions and comments blanked; code within ${...} stays."""
-        out, i, n, depth = list(text), 0, len(text), []
+        """Strings, templates, regular expressions, comments, and tags and texts of JSX blanked; code within ${...} and {...} stays."""
+        out, i, n = list(text), 0, len(text)
+        # What is open: a template's or an element's code, with its braces, an element's tag, or its text.
+        stack: list[list] = []
         last = ""
 
         def wipe(a: int, b: int) -> None:
@@ -133,7 +135,7 @@ class _Source:
                     return k + 1
                 elif text.startswith("${", k):
                     wipe(start, k + 2)
-                    depth.append(0)
+                    stack.append(["template", 0])
                     return k + 2
                 else:
                     k += 1
@@ -142,6 +144,38 @@ class _Source:
 
         while i < n:
             c = text[i]
+            inside = stack[-1][0] if stack else ""
+            if inside == "text" and c not in "<{":
+                wipe(i, i + 1)
+                i += 1
+                continue
+            if inside == "text" and text.startswith("</", i):
+                end = text.find(">", i) + 1 or n
+                wipe(i, end)
+                stack.pop()
+                i, last = end, ")"
+                continue
+            if c == "<" and (inside == "text" or self._element(text, i, last, out)):
+                wipe(i, i + 1)
+                stack.append(["tag"])
+                i += 1
+                continue
+            if inside == "tag" and c in "/>" and (c == ">" or text.startswith("/>", i)):
+                stack[-1] = ["text"]
+                if c == "/":
+                    stack.pop()
+                    last = ")"
+                wipe(i, i + 1 + (c == "/"))
+                i += 1 + (c == "/")
+                continue
+            if inside in ("tag", "text") and c == "{":
+                stack.append(["code", 0])
+                i, last = i + 1, "{"
+                continue
+            if inside == "tag" and c not in "\"'":
+                wipe(i, i + 1)
+                i += 1
+                continue
             if text.startswith(("//", "/*"), i):
                 end = text.find("\n", i) if text[i + 1] == "/" else text.find("*/", i + 2) + 2
                 end = n if end < (i + 2 if text[i + 1] == "*" else 0) else end
@@ -163,20 +197,30 @@ class _Source:
                     wipe(i, m.end())
                     i, last = m.end(), '"'
                     continue
-            if depth and c == "{":
-                depth[-1] += 1
-            elif depth and c == "}":
-                if depth[-1] == 0:
-                    depth.pop()
-                    i = template(i + 1)
-                    last = '"'
+            if inside in ("template", "code") and c == "{":
+                stack[-1][1] += 1
+            elif inside in ("template", "code") and c == "}":
+                if stack[-1][1] == 0:
+                    stack.pop()
+                    i, last = template(i + 1) if inside == "template" else i + 1, '"'
                     continue
-                depth[-1] -= 1
+                stack[-1][1] -= 1
             if not c.isspace():
                 last = c
             i += 1
         return "".join(out)
 
+    @staticmethod
+    def _element(text: str, i: int, last: str, out: list[str]) -> bool:
+        """Whether < at i opens an element: where a value may begin, and with an end in sight, unlike type parameters and casts."""
+        if last and last not in "(,=:[!&|?{};>" and not re.search(r"\b(return|default|case)\s*$", "".join(out[max(0, i - 12) : i])):
+            return False
+        m = re.compile(r"<(?:([A-Za-z_$][\w.$:-]*)(?=[\s/>])|(?=>))").match(text, i)
+        if not m or (last == ">" and "".join(out[:i]).rstrip()[-2:] != "=>"):
+            return False
+        name = m[1] or ""
+        return text.find(f"</{name}", i) >= 0 or bool(name and re.compile(r"[^<>]*/>").match(text, m.end()))
+
 
 class Scanner:
     def __init__(self, text: str, lang: str) -> None:

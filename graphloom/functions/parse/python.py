@@ -170,8 +170,13 @@ def scan_lines(text: str) -> Facts:
     blank = _STRING.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
     facts, open_ = Facts(), []  # (indent, definition)
     shown = text.splitlines()
+    fresh: Definition | None = None  # the definition whose body begins
     for number, line in enumerate(blank.splitlines(), 1):
         body = line.strip()
+        if fresh and (said := shown[number - 1].strip()):
+            if not body and (m := re.match(r"[rRuU]?(\"\"\"|\'\'\'|[\"\'])", said)):
+                fresh.docstring = preview(said[m.end() :].removesuffix(m[1]))
+            fresh = None
         if not body:
             continue
         indent = len(line) - len(line.lstrip())
@@ -186,6 +191,7 @@ def scan_lines(text: str) -> Facts:
             d = Definition(m[1], kind, owner, number, number, shown[number - 1].strip(), base_class=(m[2] or None) if kind == "class" else None)
             facts.defs.append(d)
             open_.append((indent, d))
+            fresh = d
             body = body[m.end() - 1 :]
             functions = [*functions, m[1]] if kind == "function" else functions
         elif re.match(r"(import|from)\s", body):
@@ -196,7 +202,8 @@ def scan_lines(text: str) -> Facts:
             continue
         for m in _CALL.finditer(body):
             if m[2] not in _WORDS:
-                facts.calls.append(Call(m[2], "method" if m[1] else "func", number, functions[-1] if functions else MODULE))
+                own = next((d.name for _, d in reversed(open_) if d.kind == "class"), None) if m[1] and functions and re.search(r"(?<![\w.])self\s*$", body[: m.start()]) else None
+                facts.calls.append(Call(m[2], "method" if m[1] else "func", number, functions[-1] if functions else MODULE, own))
     return facts
 
 

@@ -72,10 +72,19 @@ def definitions(symbols: DataFrame) -> DataFrame:
 
 def existing(graph: Graph, wanted: DataFrame, prefix: bool = False) -> tuple[DataFrame, DataFrame]:
     """(definitions, imports) whose name is a value of wanted.wanted, or begins with one; letter case counts."""
-    match = (lambda c: F.col(c).startswith(F.col("wanted"))) if prefix else (lambda c: F.col(c) == F.col("wanted"))
-    defs = definitions(graph.symbols).join(wanted, match("name"))
-    names = graph.import_names.join(wanted, match("local")).select("wanted", "file", "source_module").distinct()
-    return defs, names
+    if not prefix:
+        defs = definitions(graph.symbols).join(wanted, F.col("name") == F.col("wanted"))
+        names = graph.import_names.join(wanted, F.col("local") == F.col("wanted"))
+        return defs, names.select("wanted", "file", "source_module").distinct()
+    # By equality of the first letters, for each length that is wanted: no pair is compared that isn't a match.
+    lengths = wanted.select(F.length("wanted").alias("long")).distinct()
+    keyed = wanted.withColumn("long", F.length("wanted"))
+
+    def begins(rows: DataFrame, name: str) -> DataFrame:
+        heads = rows.join(F.broadcast(lengths), F.length(name) >= F.col("long")).withColumn("head", F.substring(name, F.lit(1), F.col("long")))  # a row a length
+        return heads.join(keyed.select("wanted", F.col("wanted").alias("head"), "long"), ["head", "long"]).drop("head", "long")
+
+    return begins(definitions(graph.symbols), "name"), begins(graph.import_names, "local").select("wanted", "file", "source_module").distinct()
 
 
 def surface_files(graph: Graph, modules: DataFrame) -> DataFrame:

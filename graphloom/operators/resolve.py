@@ -43,18 +43,29 @@ def _index(symbols: DataFrame, keys: dict[str, str], prefix: str, *more: Column)
     return symbols.groupBy(*(F.col(c).alias(n) for c, n in keys.items())).agg(F.count("*").alias(f"{prefix}_n"), F.min("id").alias(f"{prefix}_one"), *more)
 
 
+def _scattered(name: str) -> Column:
+    """The column, with nulls as a thousand names that nothing has: most calls have no receiver, and in a join by it they would meet in one partition."""
+    return F.coalesce(F.col(name), F.concat(F.lit("\0"), F.pmod(F.xxhash64("file", "seq"), F.lit(1000)).cast("string")))
+
+
 def resolve(calls: DataFrame, graph: Graph) -> DataFrame:
     """calls (with callee_name) and callee_id, kind, rule."""
     symbols = graph.symbols
     module_level = symbols.where("parent_class is null")
     suffixes = graph.files.select(F.col("path").alias("sf_file"), F.explode(path_suffixes(F.col("path"))).alias("sf_suffix"))
-    all_ = _index(symbols, {"name": "c_name", "lang": "c_lang"}, "c")
-    receivers = _index(symbols, {"name": "r_name", "lang": "r_lang"}, "r", F.min("kind").alias("r_kind"), F.min("base_class").alias("r_base"))
-    bases = _index(symbols, {"name": "b_name", "lang": "b_lang"}, "b", F.min("kind").alias("b_kind"))
+    # One lookup of a name serves callees (of any level, and of modules), receivers and bases.
+    top = F.col("parent_class").isNull()
+    named = _index(
+        symbols, {"name": "c_name", "lang": "c_lang"}, "c", F.count(F.when(top, 1)).alias("m_n"), F.min(F.when(top, F.col("id"))).alias("m_one"), F.min("kind").alias("c_kind"), F.min("base_class").alias("c_base")
+    )
+
+    def as_(prefix: str, *columns: str) -> DataFrame:
+        return named.select(*(F.col(f"c_{c}").alias(f"{prefix}_{c}") for c in ("name", "lang", "n", *columns)))
+
+    receivers, bases = as_("r", "kind", "base"), as_("b", "kind")
     methods = symbols.where("parent_class is not null")
     own = _index(methods, {"name": "p_name", "lang": "p_lang", "parent_class": "p_parent"}, "p")
     inherited = _index(methods, {"name": "h_name", "lang": "h_lang", "parent_class": "h_parent"}, "h")
-    modules = _index(module_level, {"name": "m_name", "lang": "m_lang"}, "m")
     same = _index(module_level, {"name": "s_name", "lang": "s_lang", "file": "s_file"}, "s", F.max_by("id", "seq").alias("s_last"))
     imported = _index(module_level.join(suffixes, F.col("file") == F.col("sf_file")), {"name": "i_name", "lang": "i_lang", "sf_suffix": "i_suffix"}, "i")
     imports = first_imports(graph.import_names)
@@ -75,14 +86,14 @@ def resolve(calls: DataFrame, graph: Graph) -> DataFrame:
     func, method = F.col("call_kind") == "func", F.col("call_kind") == "method"
     rc = F.col("receiver_class")
     joined = (
-        calls.join(all_, at("c_name", "c_lang"), "left")
-        .join(modules, at("m_name", "m_lang"), "left")
+        calls.withColumn("r_key", _scattered("receiver_class")).join(named, at("c_name", "c_lang"), "left")
         .join(same, at("s_name", "s_lang", F.col("file") == F.col("s_file"), func), "left")
         .join(of_name, (F.col("file") == F.col("im_file")) & (F.col("callee_name") == F.col("im_local")) & func, "left")
         .join(imported, at("i_name", "i_lang", F.col("im_path") == F.col("i_suffix")), "left")
-        .join(receivers, (rc == F.col("r_name")) & (F.col("lang") == F.col("r_lang")) & method, "left")
+        .join(receivers, (F.col("r_key") == F.col("r_name")) & (F.col("lang") == F.col("r_lang")) & method, "left")
         .join(own, at("p_name", "p_lang", rc == F.col("p_parent"), method), "left")
-        .join(bases, (F.col("r_base") == F.col("b_name")) & (F.col("lang") == F.col("b_lang")), "left")
+        .withColumn("b_key", _scattered("r_base"))
+        .join(bases, (F.col("b_key") == F.col("b_name")) & (F.col("lang") == F.col("b_lang")), "left")
         .join(inherited, at("h_name", "h_lang", F.col("r_base") == F.col("h_parent")), "left")
         .join(of_receiver, (F.col("file") == F.col("x_file")) & (rc == F.col("x_local")) & method, "left")
     )
@@ -118,4 +129,9 @@ def resolve(calls: DataFrame, graph: Graph) -> DataFrame:
 def edges_of(graph: Graph) -> DataFrame:
     """One row for each call site: file, seq, line, lang, caller_id, callee_id, callee_name, kind, rule, call_kind, receiver_class, name."""
     calls = attribute_callers(expand_aliases(graph.call_sites, graph.aliases), graph.symbols)
+    return edges_of_calls(calls, graph)
+
+
+def edges_of_calls(calls: DataFrame, graph: Graph) -> DataFrame:
+    """Edges of calls that have callee_name and caller_id; see edges_of()."""
     return resolve(calls, graph).select("file", "seq", "line", "lang", "caller_id", "callee_id", "callee_name", "name", "kind", "rule", "call_kind", "receiver_class")

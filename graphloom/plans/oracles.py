@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from graphloom.plans import samples
+
 _BUILTINS = "('dict','list','set','frozenset','tuple','str','bytes','bytearray','int','float','complex','bool','object','type','BaseException','Exception')"
 
 #: The derived corpus: symbols_0, calls_0, names_0, files_0, aliases_0.
@@ -250,3 +252,5 @@ ORACLES: dict[str, str] = {
     ),
     "parse_failures_kinds": _q("SELECT split_part(error, ':', 1) AS kind, count(*) AS files FROM failures_0 GROUP BY 1"),
 }
+
+ORACLES |= {f"parse_{name}": samples.oracle(name) for name in samples.SOURCES}

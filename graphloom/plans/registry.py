@@ -13,8 +13,10 @@ from graphloom.operators import delta as D
 from graphloom.operators import impact as I
 from graphloom.operators import queries as Q
 from graphloom.operators import resolve as R
+from graphloom.plans import samples
 from graphloom.plans.corpus import derived, table
 from graphloom.schema import Graph
+from graphloom.session import saved
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -325,10 +327,12 @@ def delta_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def delta_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of the graph kept by delta; its SQL rebuilds them from the edited corpus."""
-    before, after, changes = _changes(spark, sf_dir)
+    before = derived(spark, sf_dir).map(lambda n, t: saved(t) if n in ("files", "symbols", "import_names", "call_sites") else t)
+    after = _mutated(before)
+    changes = saved(D.changed_files(before.files, after.files))
     alive = changes.where("change <> 'deleted'").select(F.col("path").alias("again"))
     parsed = after.map(lambda n, t: t.join(alive, F.col("path" if n == "files" else "file") == F.col("again"), "left_semi"))
-    edges = R.edges_of(D.refreshed(before, changes, parsed))
+    edges = D.incremental_edges(saved(R.edges_of(before)), before, D.refreshed(before, changes, parsed), changes)
     return edges.groupBy("file", "callee_name", "kind", "rule").agg(F.count("*").alias("edges"), F.sum("seq").alias("seqs"))
 
 
@@ -408,3 +412,13 @@ def test_file_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parse_failures_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     failures = derived(spark, sf_dir).parse_failures
     return failures.groupBy(F.substring_index("error", ":", 1).alias("kind")).agg(F.count("*").alias("files"))
+
+
+# Parsers: a query for each sample of sources, against facts written by hand -----------------------
+
+
+def _parse_query(sample: str) -> Query:
+    return lambda spark, sf_dir: samples.facts(spark, sample)
+
+
+QUERIES |= {f"parse_{name}": _parse_query(name) for name in samples.SOURCES}

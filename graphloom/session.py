@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def importable(spark: SparkSession) -> SparkSession:
@@ -18,3 +20,14 @@ def importable(spark: SparkSession) -> SparkSession:
     if root not in paths:
         environment["PYTHONPATH"] = ":".join([root, *filter(None, paths)])
     return spark
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df computed once, in the folder of spark.checkpoint.dir; a local master without one gets a temporary folder."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="graphloom-"))
+    return df.checkpoint()

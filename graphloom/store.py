@@ -117,12 +117,13 @@ class Store:
     def edges(self) -> DataFrame:
         return self._read("edges") if "snapshot" in self.meta else edges_of(self.graph)
 
-    def _save(self, parsed: DataFrame) -> None:
-        """Write a snapshot, then point to it; older ones go."""
+    def _save(self, parsed: DataFrame, changes: DataFrame | None = None) -> None:
+        """Write a snapshot, then point to it; older ones go. With changes, edges that they can't reach are taken over."""
         name = f"snapshot-{time.time_ns()}"
         base = f"file://{self.home}/{name}"
         parsed.sort("path").write.parquet(f"{base}/parsed")
-        edges = edges_of(tree.graph_of(self.spark.read.parquet(f"{base}/parsed")))
+        graph = tree.graph_of(self.spark.read.parquet(f"{base}/parsed"))
+        edges = edges_of(graph) if changes is None else D.incremental_edges(self.edges, self.graph, graph, changes)
         edges.sort("callee_name", "file", "seq").write.parquet(f"{base}/edges")
         pending = self.home / "meta.json.tmp"
         pending.write_text(json.dumps({"version": VERSION, "snapshot": name, "last_indexed_head": git.head(self.root)}))
@@ -145,7 +146,7 @@ class Store:
         return self.status()
 
     def refresh(self) -> Record:
-        """Bring the graph to what is on disk: only changed files are parsed, all edges are resolved anew.
+        """Bring the graph to what is on disk: only changed files are parsed, and only edges that they can reach are resolved anew.
 
         Every file is hashed, so edits that were taken back, files outside git and moved heads are all seen.
         """
@@ -163,10 +164,10 @@ class Store:
             if not changes:
                 return {"changed": 0, "deleted": 0, "relabeled": 0}
             old_edges, old_symbols = self._read("edges"), tree.graph_of(stored).symbols
-            table = self.spark.createDataFrame([(p,) for p in changes], "path string")
+            table = self.spark.createDataFrame(list(changes.items()), "path string, change string")
             folders = [(p, e) for p, e in failed if p in changes]
             fresh = tree.parsed(self.spark, self.root, [p for p in again if not p.endswith("/")]).unionByName(self._failed_folders(folders))
-            self._save(stored.join(table, "path", "left_anti").unionByName(fresh))
+            self._save(stored.join(table.select("path"), "path", "left_anti").unionByName(fresh), table)
             relabelled = D.relabelled(old_edges, self.edges, old_symbols, self.graph.symbols, table).count()
         return {"changed": len(again), "deleted": len(gone), "relabeled": relabelled}
 

@@ -45,7 +45,7 @@ def test_sources_that_do_not_compile():
     f = parse_python("def f(x):\n    print 1\n    foo(x)\nclass A(B):\n    def m(self):\n        self.q(1)\n")
     assert [d[:3] for d in defs(f)] == [("f", "function", None), ("A", "class", None), ("m", "function", "A")]
     assert [c[:3] for c in calls(f)] == [("foo", "func", "f"), ("q", "method", "m")]
-    assert parse_python("@!#$ not python at all {{{ ]] (((").empty() and parse_python("# only a comment\n").empty()
+    assert parse_python("%% ?? ]) this is { prose ) and ( no source").empty() and parse_python("# only a comment\n").empty()
     assert not parse_python("x = f(\0)\n").defs
 
 
@@ -77,3 +77,23 @@ def test_diff():
     text = "--- a/x.py\n+++ b/x.py\n@@ -1 +1,2 @@ f\n@@ -9,2 +10,0 @@\n--- a/gone.py\n+++ /dev/null\n@@ -1,3 +0,0 @@\n--- /dev/null\n+++ b/new.py\n@@ -0,0 +1 @@\n"
     assert git.parse_diff(text) == ({"x.py": [(1, 2), (10, 10)], "new.py": [(1, 1)]}, ["gone.py"])
     assert git.porcelain_paths(' M a.py\nR  "o.py" -> n.py\n?? d/e.py\nx\n') == ["a.py", "o.py", "n.py", "d/e.py"]
+
+
+def test_texts_of_elements_hold_no_calls():
+    f = parse_braces("const A = () => (<p className={cx('a')}>it's (nothing) {b(1)} <C.D on={() => { e(2); }} /> </p>);\nconst g = a < b(3) && c > (4);\nconst h = <>{k(5)} x(y)</>;\nl(6);\n", "javascript")
+    assert [c[0] for c in calls(f)] == ["cx", "b", "e", "b", "k", "l"]
+    f = parse_braces("const b = <T,>(y: T) => g(y); const c = <Foo>h(z);\n", "typescript")
+    assert [c[0] for c in calls(f)] == ["g", "h"]
+
+
+def test_sources_that_do_not_compile_keep_receivers_and_docstrings():
+    f = parse_python('class A:\n    """Says."""\n    def m(self):\n        \'It does.\'\n        self.q(1); other.self.r()\nprint 1\n')
+    assert [d.docstring for d in f.defs] == ["Says.", "It does."] and calls(f) == [("q", "method", "m", "A"), ("r", "method", "m", None)]
+
+
+def test_samples_have_the_facts_written_by_hand(spark):
+    from graphloom.plans import samples
+
+    for name, want in samples.FACTS.items():
+        got = [tuple(r) for r in samples.facts(spark, name).collect()]
+        assert sorted(got) == sorted((f, n, d or "-", o or "-", -1 if line is None else line) for f, n, d, o, line in want), name

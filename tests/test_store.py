@@ -28,7 +28,7 @@ def repo(spark, tmp_path_factory):
         root, a_py="def target():\n    '''Says.'''\n    return 1\n\ndef other():\n    return target()\n",
         b_py="from a import target as t\n\ndef use():\n    t()\n    nothing()\n\nt()\n",
         tests__test_a_py="from a import target\n\ndef test_it():\n    x = target()\n" + "    pass\n" * 8 + "    assert x\n",
-        bad_py="@!#$ not python at all {{{ ]] (((", vendor__skip_py="def target(): pass\n",
+        bad_py="%% ?? ]) this is { prose ) and ( no source", vendor__skip_py="def target(): pass\n",
     )
     store = Store(spark, root)
     store.index()
