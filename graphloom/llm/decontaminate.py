@@ -23,7 +23,7 @@ from graphloom.llm.kernel import prefix_hash, run_hash, slices, string_bytes, wo
 from graphloom.llm.shared import apart, map_rows
 
 #: Words of a shard, at least one document; about 150 bytes of memory each.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 #: Words that must agree for a document to count as affected; an item of fewer words, but WHOLE or more, must stand in it as a whole.
 LEAST, WHOLE = 8, 6
 #: Bytes of test text that a pass takes along; a larger benchmark takes several passes.
