@@ -42,6 +42,10 @@ FLUSH = 1 << 20
 PAIRS = 1 << 19
 #: Short lists of up to so many entries are merged on a heap, larger ones by arrays.
 HEAP = 48
+#: Lists of so many classes or more are counted against their least class first.
+CROWD = 8
+#: Squares of list lengths that make a tile dense, entries of counts of a stripe of it, and the part of its sets that a list has to hold to be a column.
+DENSE, STRIPE, COLUMN = 1 << 22, 1 << 21, 32
 _MASK = np.uint64((1 << BITS) - 1)
 _SALT = np.uint64(0x9FB21C651E98DF25)
 
@@ -125,6 +129,12 @@ def search_sets(ids: np.ndarray, sets: list[np.ndarray], least: float, side: np.
     code[by] = np.repeat(np.arange(len(lead)), length)
     packed = np.repeat(np.arange(len(lead)), length) * n + owners  # (list, set) pairs in order, for probes
     at = np.concatenate([[0], np.cumsum(sizes)])
+    columns = np.flatnonzero(length >= max(2, n // COLUMN))
+    work = int((length * length).sum())
+    if work > DENSE and work > n * n * len(columns) // 32:
+        for a, who, count in _products(n, sizes, code, at, lead, length, owners, columns, by, least, side):
+            yield int(rank[a]), rank[who], count
+        return
     for a in range(n - 1):
         mine = code[at[a] : at[a + 1]]
         t = int(needed(sizes[a], least))
@@ -161,6 +171,50 @@ def search_sets(ids: np.ndarray, sets: list[np.ndarray], least: float, side: np.
             yield int(rank[a]), rank[who[good]], count[good]
 
 
+def _products(
+    n: int, sizes: np.ndarray, code: np.ndarray, at: np.ndarray, lead: np.ndarray, length: np.ndarray, owners: np.ndarray, columns: np.ndarray, by: np.ndarray, least: float, side: np.ndarray | None
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """As search_sets(), numbered by rank, for sets that mostly meet: overlaps are products of a matrix of the long lists, and counts over the short ones."""
+    number = np.full(len(lead), -1)
+    number[columns] = np.arange(len(columns))
+    dense = np.zeros((n, len(columns)), np.float32)
+    column = number[code]
+    owner = np.repeat(np.arange(n), sizes)
+    dense[owner[column >= 0], column[column >= 0]] = 1
+    place = np.empty(len(by), np.int64)  # of each member in its list
+    place[by] = np.arange(len(by))
+    end = lead + length
+    high = np.searchsorted(sizes, np.floor(sizes / least + 1e-9), "right")  # the partners of a set are before this one
+    x = 0
+    while x < n - 1:
+        y = min(n, x + max(1, STRIPE // max(1, int(high[x]) - x)))
+        y = x + max(1, int(np.searchsorted(np.arange(1, y - x + 1) * (high[x:y] - x), STRIPE, "right")))
+        z = int(high[y - 1])  # count over sets x to z
+        width = z - x
+        count = dense[x:y] @ dense[x:z].T
+        light = np.flatnonzero((column[at[x] : at[y]] < 0) & (length[code[at[x] : at[y]]] > 1)) + at[x]
+        many = end[code[light]] - place[light] - 1
+        total = np.cumsum(many)
+        p = 0
+        while p < len(light):
+            q = max(p + 1, int(np.searchsorted(total, (total[p - 1] if p else 0) + STRIPE, "right")))
+            m = many[p:q]
+            other = owners[np.repeat(place[light[p:q]] + 1 - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))]
+            first = np.repeat(owner[light[p:q]], m)
+            inside = other < z
+            count += np.bincount((first[inside] - x) * width + other[inside] - x, minlength=(y - x) * width).reshape(y - x, width).astype(np.float32)
+            p = q
+        for a in range(x, y):
+            c = count[a - x, a + 1 - x :]
+            good = c >= least * (sizes[a] + sizes[a + 1 : z] - c) - 1e-9
+            if side is not None:
+                good &= side[a + 1 : z] != side[a]
+            who = np.flatnonzero(good)
+            if len(who):
+                yield a, who + a + 1, c[who].astype(np.int64)
+        x = y
+
+
 def _sets(rows: DataFrame, gram: int) -> DataFrame:
     """(doc, k, k2, n): the two hashes that name the set of a document, and its size."""
 
@@ -220,10 +274,11 @@ def _entries(rows: DataFrame, gram: int, buckets: int, part: float) -> DataFrame
 
 
 def _lists(packed: DataFrame, buckets: int) -> DataFrame:
-    """(list, k, n, length, anchor): the entries of lists in which two classes meet; a list has the name of its member.
+    """(list, k, n, length, anchor, center, center_n): the entries of lists in which two classes meet; a list has the name of its member.
 
     anchor: by the list's least class. The lists that a group of similar sets has in common mostly share it,
-    so that the pairs of the group are counted in one place.
+    so that the pairs of the group are counted in one place. center: that class itself, and its size, in lists
+    of CROWD classes or more; null in shorter ones.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,20 +308,37 @@ def _lists(packed: DataFrame, buckets: int) -> DataFrame:
         once[1:] = (m[1:] != m[:-1]) | (k[1:] != k[:-1])
         m, k, n = m[once], k[once], n[once]
         lead = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]])[: len(m)])
-        length = np.repeat(np.diff(np.append(lead, len(m))), np.diff(np.append(lead, len(m))))
+        each = np.diff(np.append(lead, len(m)))
+        length = np.repeat(each, each)
         keep = length > 1
-        least = np.repeat(k[lead], np.diff(np.append(lead, len(m))))
+        least, least_n = np.repeat(k[lead], each)[keep], np.repeat(n[lead], each)[keep]
         anchor = (mix(least.view(np.uint64)) >> np.uint64(40)).astype(np.int32)
-        m, k, n, length, anchor = m[keep].view(np.int64), k[keep], n[keep], length[keep].astype(np.int32), anchor[keep]
+        m, k, n, length = m[keep].view(np.int64), k[keep], n[keep], length[keep].astype(np.int32)
         for a in range(0, len(m), 1 << 16):
             s = slice(a, a + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (m, k, n, length, anchor)], names=["list", "k", "n", "length", "anchor"])
+            few = length[s] < CROWD
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[s]) for x in (m, k, n, length, anchor)), pa.array(least[s], mask=few), pa.array(least_n[s], mask=few)], names=["list", "k", "n", "length", "anchor", "center", "center_n"])
+
+    return packed.repartition(buckets, "bucket").mapInArrow(run, "list bigint, k bigint, n int, length int, anchor int, center bigint, center_n int")
+
+
+def _stars(lists: DataFrame, least: float, part: float) -> DataFrame:
+    """(a, b) pairs of a class and the least one of its crowded lists that meet in T of them: candidates told without a pair being formed.
+
+    There are no more of them than entries of lists, and the classes of a large cluster mostly hang together by them.
+    """
+    n, m = F.col("n"), F.col("m")
+    met = lists.where("center is not null and k <> center").groupBy("k", "center").agg(F.count("*").alias("c"), F.min("n").alias("n"), F.min("center_n").alias("m"))
+    t = F.ceil(least / (1 + least) * (n + m) - 1e-9) - F.floor((1 - part) * F.greatest("n", "m") + 1e-9)
+    return met.where((F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9) & (F.col("c") >= F.greatest(F.lit(2), t))).select(F.col("k").alias("a"), F.col("center").alias("b"))
 
-    return packed.repartition(buckets, "bucket").mapInArrow(run, "list bigint, k bigint, n int, length int, anchor int")
 
+def _candidates(lists: DataFrame, labels: DataFrame, least: float, part: float, rows_a_task: int) -> DataFrame:
+    """(a, b) pairs of classes of different labels that reach T - L of the short lists of the smaller one.
 
-def _candidates(lists: DataFrame, least: float, part: float, rows_a_task: int) -> DataFrame:
-    """(a, b) pairs of classes that reach T - L of the short lists of the smaller one."""
+    labels: (k, label) of classes that stars hold together; any other class is alone. Pairs of one label are in
+    one component anyway, where whole sets are searched, so that they needn't be formed here.
+    """
     own = Window.partitionBy("k")
     half = least / (1 + least)
     size = F.min("n").over(own)  # should two classes have one key, the smaller bound holds
@@ -276,6 +348,8 @@ def _candidates(lists: DataFrame, least: float, part: float, rows_a_task: int) -
         counted.withColumn("skip", F.when(F.col("shared") >= F.col("least_t"), F.floor(ASIDE * F.col("least_t"))).otherwise(-1).cast("int"))
         .withColumn("short", (F.col("skip") >= 0) & (F.row_number().over(own.orderBy("length", "list")) <= F.col("shared") - F.col("skip")))
         .select("anchor", "list", "k", "n", "skip", "short")
+        .join(labels.hint("merge"), "k", "left")
+        .withColumn("label", F.coalesce("label", "k"))
     )
     parts = max(1, -(-lists.count() // max(1, rows_a_task)))
 
@@ -284,15 +358,38 @@ def _candidates(lists: DataFrame, least: float, part: float, rows_a_task: int) -
         if not held:
             return
         table = pa.Table.from_batches(held)
-        name, k, n, skip = (table[c].to_numpy() for c in ("list", "k", "n", "skip"))
+        name, k, n, skip, label = (table[c].to_numpy() for c in ("list", "k", "n", "skip", "label"))
         short = table["short"].to_numpy(zero_copy_only=False)
-        by = np.argsort(name)
-        name, k, n, skip, short = name[by], k[by], n[by], skip[by], short[by]
+        by = np.lexsort((k, n, name))  # partners come later in a list
+        name, k, n, skip, label, short = name[by], k[by], n[by].astype(np.int64), skip[by], label[by], short[by]
+        lead = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+        several = np.repeat(np.minimum.reduceat(label, lead) != np.maximum.reduceat(label, lead), np.diff(np.append(lead, len(name))))
+        name, k, n, skip, label, short = name[several], k[several], n[several], skip[several], label[several], short[several]
+        if not short.any():
+            return
         lead = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
         length = np.diff(np.append(lead, len(name)))
-        start, size = np.repeat(lead, length), np.repeat(length, length)
+        number = np.repeat(np.arange(len(lead)), length)
         ids, at, local = np.unique(k, return_index=True, return_inverse=True)
-        n_of, skip_of = n[at].astype(np.int64), skip[at]
+        n_of, skip_of = n[at], skip[at]
+        who = np.flatnonzero(short)
+        # The partners of an entry are within its sizes, and of other labels: the shorter way of the two is taken.
+        sized = np.searchsorted(number << 32 | n, number[who] << 32 | np.floor(n[who] / least + 1e-9).astype(np.int64), "right")
+        other = np.lexsort((label, number))
+        begins = np.concatenate([[True], (number[other][1:] != number[other][:-1]) | (label[other][1:] != label[other][:-1])])
+        run_at = np.flatnonzero(begins)
+        run_of = np.empty(len(other), np.int64)
+        run_of[other] = np.cumsum(begins) - 1
+        run_end = np.append(run_at[1:], len(other))
+        own, first = run_of[who], lead[number[who]]
+        last = first + length[number[who]]
+        near = sized - who - 1 <= length[number[who]] - (run_end[own] - run_at[own])
+        far = ~near
+        targets = np.concatenate([np.arange(len(name)), other])
+        start = np.concatenate([who[near] + 1, len(name) + first[far], len(name) + run_end[own[far]]])
+        size = np.concatenate([sized[near] - who[near] - 1, run_at[own[far]] - first[far], last[far] - run_end[own[far]]])
+        who = np.concatenate([who[near], who[far], who[far]])
+        who, start, size = who[size > 0], start[size > 0], size[size > 0]
 
         def added(code: np.ndarray, count: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """Sorted codes and counts, with those of further pairs."""
@@ -314,15 +411,15 @@ def _candidates(lists: DataFrame, least: float, part: float, rows_a_task: int) -
                 s = slice(x, x + (1 << 16))
                 yield pa.RecordBatch.from_arrays([pa.array(v[s]) for v in (ids[a], ids[b], count, reach)], names=["a", "b", "c", "reach"])
 
-        who = np.flatnonzero(short)
-        total = np.cumsum(size[who])
+        total = np.cumsum(size)
         code, count, x = np.empty(0, np.int64), np.empty(0, np.int64), 0
         while x < len(who):
             y = max(x + 1, int(np.searchsorted(total, (total[x - 1] if x else 0) + PAIRS, "right")))
-            mine, x = who[x:y], y
-            a = np.repeat(mine, size[mine])
-            b = np.repeat(start[mine] - (np.cumsum(size[mine]) - size[mine]), size[mine]) + np.arange(len(a))
-            fits = np.flatnonzero(((n[b] > n[a]) | ((n[b] == n[a]) & (k[b] > k[a]))) & (n[a] >= n[b] * least - 1e-9))
+            begin, many = start[x:y], size[x:y]
+            a = np.repeat(who[x:y], many)
+            b = targets[np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(len(a))]
+            x = y
+            fits = np.flatnonzero((label[a] != label[b]) & ((n[b] > n[a]) | ((n[b] == n[a]) & (k[b] > k[a]))) & (n[a] >= n[b] * least - 1e-9))
             code, count = added(code, count, local[a[fits]] * len(ids) + local[b[fits]])
             if len(code) > 4 * PAIRS:  # as many different pairs: their counts are added up later
                 yield from out(code, count)
@@ -333,68 +430,84 @@ def _candidates(lists: DataFrame, least: float, part: float, rows_a_task: int) -
     return counts.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("reach").alias("reach")).where("c >= reach").select("a", "b")
 
 
-def _tiles(candidates: DataFrame, leads: DataFrame, members: int) -> DataFrame:
-    """(doc, k, n, chunk, component, tiles) for every class with a candidate; tiles: (low, high) chunks that meet with it.
+def _tiles(candidates: DataFrame, stars: DataFrame, labels: DataFrame, leads: DataFrame, members: int) -> DataFrame:
+    """(doc, k, n, docs, chunk, component, tiles) for every class with a candidate; tiles: (low, high) chunks that meet with it.
 
     A component of more than `members` members is cut into chunks of half as many, and a tile is a pair of
-    its chunks, or a chunk with itself, that some candidate pair joins. So no task has to hold a component.
+    its chunks, or a chunk with itself, that some candidate pair or some label joins. So no task has to hold
+    a component.
     """
-    groups = components(candidates).select(F.col("node").alias("k"), "component")
-    order = Window.partitionBy("component").orderBy("k")  # rows of one k end in one place
+    groups = components(candidates.unionByName(stars)).select(F.col("node").alias("k"), "component")
+    order = Window.partitionBy("component").orderBy("label", "k")  # rows of one k end in one place
     size = F.sum("n").over(Window.partitionBy("component"))
     chunk = F.when(size <= members, 0).otherwise(F.floor((F.sum("n").over(order) - 1) / max(1, members // 2))).cast("int")
-    chunks = written(leads.join(groups, "k").select(F.col("lead").alias("doc"), "k", "n", "component", chunk.alias("chunk"), (size > members).alias("cut")), "chunks")
+    labelled = leads.join(groups, "k").join(labels.hint("merge"), "k", "left").withColumn("label", F.coalesce("label", "k"))
+    chunks = written(labelled.select(F.col("lead").alias("doc"), "k", "n", "docs", "component", "label", chunk.alias("chunk"), (size > members).alias("cut")), "chunks")
     cut = chunks.where("cut").select("k", "component", "chunk").distinct()
     x, y = cut.select(F.col("k").alias("a"), "component", F.col("chunk").alias("x")), cut.select(F.col("k").alias("b"), F.col("chunk").alias("y"))
-    met = candidates.join(x, "a").join(y, "b").select("component", F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high")).distinct()
+    of_label = chunks.where("cut").select("component", "label", "chunk").distinct()
+    same = of_label.withColumnRenamed("chunk", "low").join(of_label.withColumnRenamed("chunk", "high"), ["component", "label"]).where("low <= high")
+    met = candidates.join(x, "a").join(y, "b").select("component", F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high"))
+    met = met.unionByName(same.select("component", "low", "high")).distinct()
     tile = F.struct("low", "high").alias("tile")
     each = met.select("component", F.explode(F.array_distinct(F.array("low", "high"))).alias("chunk"), tile)
     of_chunk = each.groupBy("component", "chunk").agg(F.collect_list("tile").alias("tiles"))
     whole = chunks.where("not cut").withColumn("tiles", F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high"))))
-    return whole.drop("cut").unionByName(chunks.where("cut").drop("cut").join(of_chunk, ["component", "chunk"]))
+    return whole.drop("cut", "label").unionByName(chunks.where("cut").drop("cut", "label").join(of_chunk, ["component", "chunk"]))
 
 
-def jaccard_join(docs: DataFrame, *, gram: int = GRAM, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", entries_a_task: int = 1 << 19, members_a_task: int = 1 << 20) -> DataFrame:
-    """(id_a, id_b, size_a, size_b, overlap, jaccard): documents of similar sets of word n-grams.
+def _linked(own: np.ndarray, k: np.ndarray, docs: np.ndarray, found: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """(doc, k, root, links) of every class of a tile: links counts the documents of its partners there, and root is the id of a class with which it hangs together."""
+    links = np.zeros(len(own), np.int64)
+    up, seen = list(range(len(own))), np.arange(len(own))  # seen: some class further up
 
-    A row for every pair of different sets with similarity `least` or more, each set represented by the
-    least id that has it (a is the smaller set, then the lesser id), and a row of similarity 1 from the
-    representative to every other document of its set. So groups of exact copies take as many rows as
-    documents, and all pairs follow by putting copies in place of their representatives.
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
 
-    No pair is missed, whatever the sizes of the sets, and similarities are exact (but that members are
-    compared by hashes of BITS bits). There is no cap on partners; no task has to hold a group of similar
-    documents, but one has to hold the inverted lists of its bucket, the longest of them at least.
+    for i, j, _ in found:
+        links[i] += docs[j].sum()
+        links[j] += docs[i]
+        tops = {top(x) for x in (int(seen[i]), *np.unique(seen[j]).tolist())}
+        low = min(tops)
+        for x in tops:
+            up[x] = low
+        seen[i] = seen[j] = low
+    root = own[[top(x) for x in seen.tolist()]]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (own, k, root, links)], names=["doc", "k", "root", "links"])
 
-    Texts without a word, null texts and null ids are in no pair. Texts of fewer than `gram` words have
-    one member, all their words. Rows of one id count as one document with several sets: it makes no pair
-    with itself, and a pair of ids has one row, that of its most similar sets. Ids must be whole numbers.
-    An empty table gives no rows; other columns are unused.
+
+def _similar(docs: DataFrame, gram: int, least: float, id_col: str, text_col: str, entries_a_task: int, members_a_task: int, linked: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc, k, k2, n) of documents, (k, k2, lead, n, docs) of classes, and what tiles find.
+
+    That is pairs (a, b, na, nb, overlap) of classes, by their least ids; or, `linked`, the rows of _linked().
     """
     whole_ids(docs, id_col)
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc"), F.col(f"`{text_col}`").alias("text")).where("doc is not null and text is not null")
     sets = written(_sets(rows, gram), "sets")
     # Equal sets are one class.
-    leads = written(sets.groupBy("k", "k2").agg(F.min("doc").alias("lead"), F.min("n").alias("n")), "classes")
-    copies = sets.select("doc", "k", "k2").join(leads, ["k", "k2"]).where("doc <> lead").select(
-        F.col("lead").alias("a"), F.col("doc").alias("b"), F.col("n").alias("na"), F.col("n").alias("nb"), F.col("n").cast("bigint").alias("overlap")
-    )
+    leads = written(sets.groupBy("k", "k2").agg(F.min("doc").alias("lead"), F.min("n").alias("n"), F.count_distinct("doc").alias("docs")), "classes")
     part = kept_part(least)
     entries = int((sets.agg(F.sum("n")).first()[0] or 0) * part)
     buckets = min(1 << 16, max(1, -(-entries // entries_a_task)))
     lists = written(_lists(_entries(rows.select("doc", "text"), gram, buckets, part), buckets), "lists")
     forget_shuffles(docs.sparkSession)
-    candidates = written(_candidates(lists, least, part, entries_a_task // 2), "candidates")
+    stars = written(_stars(lists, least, part), "stars")
+    labels = written(components(stars).select(F.col("node").alias("k"), F.col("component").alias("label")), "labels")
     forget_shuffles(docs.sparkSession)
-    tiled = written(_tiles(candidates, leads, members_a_task), "tiles")
+    candidates = written(_candidates(lists, labels, least, part, entries_a_task // 2), "candidates")
+    forget_shuffles(docs.sparkSession)
+    tiled = written(_tiles(candidates, stars, labels, leads, members_a_task), "tiles")
     total = tiled.agg(F.sum(F.col("n") * F.size("tiles"))).first()[0] or 0
     parts = max(1, -(-total // members_a_task))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "k", "chunk", "component", "low", "high", "members"]
+        names = ["doc", "k", "chunk", "component", "docs", "low", "high", "members"]
         for batch in batches:
             keys = batch.column(2).to_pylist()
-            tiles = batch.column(5).to_pylist()
+            tiles = batch.column(6).to_pylist()
             at, low, high, members = [], [], [], []
             for row, s in member_sets(batch.column(1), gram):
                 if set_key(s) != keys[row]:
@@ -405,18 +518,18 @@ def jaccard_join(docs: DataFrame, *, gram: int = GRAM, least: float = LEAST, id_
                     high.append(x["high"])
                     members.append(s.tobytes())
             at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in (0, 2, 3, 4)), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(members, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in (0, 2, 3, 4, 5)), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(members, pa.binary())], names=names)
 
     # The ids that are left grow with the documents: the join is a shuffle at every size, never a broadcast.
-    wanted = tiled.select("doc", "k", "chunk", "component", "tiles").hint("merge")
-    packed = rows.join(wanted, "doc").select("doc", "text", "k", "chunk", "component", "tiles").mapInArrow(
-        pack, "doc bigint, k bigint, chunk int, component bigint, low int, high int, members binary"
+    wanted = tiled.select("doc", "k", "chunk", "component", "docs", "tiles").hint("merge")
+    packed = rows.join(wanted, "doc").select("doc", "text", "k", "chunk", "component", "docs", "tiles").mapInArrow(
+        pack, "doc bigint, k bigint, chunk int, component bigint, docs bigint, low int, high int, members binary"
     )
     names_ = ["a", "b", "na", "nb", "overlap"]
 
     def settle(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held)
-        doc, k, chunk = (table[c].to_numpy() for c in ("doc", "k", "chunk"))
+        doc, k, chunk, docs_of = (table[c].to_numpy() for c in ("doc", "k", "chunk", "docs"))
         raw, at = string_bytes(table["members"])
         members, at = np.frombuffer(raw, np.uint64), at // 8
         found: list[list[np.ndarray]] = []
@@ -430,6 +543,9 @@ def jaccard_join(docs: DataFrame, *, gram: int = GRAM, least: float = LEAST, id_
             mine = [members[at[g] : at[g + 1]] for g in group]
             sizes = np.diff(at)[group]
             side = chunk[group] if chunk[group].min() != chunk[group].max() else None
+            if linked:
+                yield _linked(own, k[group], docs_of[group], search_sets(own, mine, least, side))
+                continue
             for i, j, c in search_sets(own, mine, least, side):
                 other = own[j] != own[i]
                 j, c = j[other], c[other]
@@ -445,9 +561,9 @@ def jaccard_join(docs: DataFrame, *, gram: int = GRAM, least: float = LEAST, id_
         held: list[pa.RecordBatch] = []  # whole tiles, some at a time
         size = 0
         for batch in batches:
-            at = string_bytes(batch.column(6))[1]
+            at = string_bytes(batch.column(7))[1]
             cuts = _borders(batch).tolist()
-            if held and batch.num_rows and any(held[-1].column(i)[-1].as_py() != batch.column(i)[0].as_py() for i in (3, 4, 5)):
+            if held and batch.num_rows and any(held[-1].column(i)[-1].as_py() != batch.column(i)[0].as_py() for i in (3, 5, 6)):
                 cuts = [0, *cuts]
             a = 0
             for c in cuts:
@@ -464,9 +580,37 @@ def jaccard_join(docs: DataFrame, *, gram: int = GRAM, least: float = LEAST, id_
             yield from settle(held)
 
     key = ("component", "low", "high")
-    pairs = packed.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(run, "a bigint, b bigint, na int, nb int, overlap bigint")
+    schema = "doc bigint, k bigint, root bigint, links bigint" if linked else "a bigint, b bigint, na int, nb int, overlap bigint"
+    return sets, leads, packed.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(run, schema)
+
+
+def _copies(sets: DataFrame, leads: DataFrame) -> DataFrame:
+    """Pairs of the least document of a class with each other one."""
+    return sets.select("doc", "k", "k2").join(leads, ["k", "k2"]).where("doc <> lead").select(
+        F.col("lead").alias("a"), F.col("doc").alias("b"), F.col("n").alias("na"), F.col("n").alias("nb"), F.col("n").cast("bigint").alias("overlap")
+    )
+
+
+def jaccard_join(docs: DataFrame, *, gram: int = GRAM, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", entries_a_task: int = 1 << 19, members_a_task: int = 1 << 20) -> DataFrame:
+    """(id_a, id_b, size_a, size_b, overlap, jaccard): documents of similar sets of word n-grams.
+
+    A row for every pair of different sets with similarity `least` or more, each set represented by the
+    least id that has it (a is the smaller set, then the lesser id), and a row of similarity 1 from the
+    representative to every other document of its set. So groups of exact copies take as many rows as
+    documents, and all pairs follow by putting copies in place of their representatives.
+
+    No pair is missed, whatever the sizes of the sets, and similarities are exact (but that members are
+    compared by hashes of BITS bits). There is no cap on partners; no task has to hold a group of similar
+    documents, but one has to hold the inverted lists of its bucket, the longest of them at least.
+
+    Texts without a word, null texts and null ids are in no pair. Texts of fewer than `gram` words have
+    one member, all their words. Rows of one id count as one document with several sets: it makes no pair
+    with itself, and a pair of ids has one row, that of its most similar sets. Ids must be whole numbers.
+    An empty table gives no rows; other columns are unused.
+    """
+    sets, leads, pairs = _similar(docs, gram, least, id_col, text_col, entries_a_task, members_a_task, False)
     similarity = F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))
-    every = pairs.unionByName(copies).withColumn("j", similarity).groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    every = pairs.unionByName(_copies(sets, leads)).withColumn("j", similarity).groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
     best = every.agg(F.max(F.struct("j", "overlap", "na", "nb", "a", "b")).alias("p")).select("p.*")
     return best.select(
         F.col("a").alias(f"{id_col}_a"), F.col("b").alias(f"{id_col}_b"), F.col("na").cast("bigint").alias("size_a"), F.col("nb").cast("bigint").alias("size_b"), "overlap",
@@ -474,6 +618,34 @@ def jaccard_join(docs: DataFrame, *, gram: int = GRAM, least: float = LEAST, id_
     )
 
 
+def near_classes(docs: DataFrame, *, gram: int = GRAM, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", entries_a_task: int = 1 << 19, members_a_task: int = 1 << 20) -> DataFrame:
+    """(id, class_id, links): every document, its class, and with how many other documents it has similarity `least` or more.
+
+    A class is what hangs together by such pairs, and has the name of its least id. Exact copies count as
+    links, each of them. No link is missed, as in jaccard_join(); pairs are counted where they are found and
+    never leave a task, so the result has as many rows as there are documents.
+
+    Rows of one id and equal sets are one document. Rows of one id and different sets are documents of their
+    own, with their own links (each other's among them), but of one class. An id without a text that has a
+    word has one row, without links. Rows with a null id are left out. Ids must be whole numbers.
+    """
+    sets, leads, found, names = _classes(docs, gram, least, id_col, text_col, entries_a_task, members_a_task)
+    links = leads.join(found.groupBy("k").agg(F.sum("links").alias("links")).hint("merge"), "k", "left")
+    links = links.select("k", "k2", (F.col("docs") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    worded = sets.select("doc", "k", "k2").distinct().join(links.hint("merge"), ["k", "k2"]).select("doc", "links")
+    every = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc")).where("doc is not null").distinct()
+    every = every.join(worded.hint("merge"), "doc", "left").join(names.hint("merge"), "doc", "left")
+    return every.select(F.col("doc").alias(id_col), F.coalesce("component", "doc").alias("class_id"), F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
+
+
+def _classes(docs: DataFrame, gram: int, least: float, id_col: str, text_col: str, entries_a_task: int = 1 << 19, members_a_task: int = 1 << 20) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents and classes of equal sets, the rows of _linked(), and (doc, component) of documents with a link."""
+    sets, leads, found = _similar(docs, gram, least, id_col, text_col, entries_a_task, members_a_task, True)
+    found = written(found, "links")
+    edges = found.select(F.col("doc").alias("a"), F.col("root").alias("b")).where("a <> b").union(_copies(sets, leads).select("a", "b"))
+    return sets, leads, found, components(edges).withColumnRenamed("node", "doc")
+
+
 def _borders(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
     """Where rows that are sorted by tile begin another one."""
     new = np.zeros(max(0, rows.num_rows - 1), bool)

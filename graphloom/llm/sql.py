@@ -69,22 +69,27 @@ _LEAKS = rf"""
 """
 
 _JACCARD = rf"""
-    WITH words AS (SELECT doc_id, {_FOLDED} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+    WITH RECURSIVE words AS (SELECT doc_id, {_FOLDED} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
     sets AS (
-        SELECT doc_id, CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
             ELSE list_sort(list_distinct(list_transform(range(len(w) - 2), lambda i: array_to_string(w[i + 1 : i + 3], ' ')))) END AS s
         FROM words WHERE len(w) > 0
-    ), classes AS (SELECT s, min(doc_id) AS lead, len(s) AS n FROM sets GROUP BY s),
-    copies AS (SELECT lead AS a, doc_id AS b, n AS na, n AS nb, n AS overlap FROM sets JOIN classes USING (s) WHERE doc_id <> lead),
-    members AS (SELECT lead, n, unnest(s) AS g FROM classes),
+    ), classes AS (SELECT s, min(doc_id) AS lead, count(*) AS docs, len(s) AS n, row_number() OVER () AS c FROM sets GROUP BY s),
+    members AS (SELECT c, n, lead, docs, unnest(s) AS g FROM classes),
     pairs AS (
-        SELECT x.lead AS a, y.lead AS b, x.n AS na, y.n AS nb, count(*) AS overlap
-        FROM members x JOIN members y ON x.g = y.g AND (x.n < y.n OR (x.n = y.n AND x.lead < y.lead))
-        GROUP BY ALL HAVING count(*) >= 0.5 * (x.n + y.n - count(*))
-    )
-    SELECT a AS doc_id_a, b AS doc_id_b, CAST(na AS BIGINT) AS size_a, CAST(nb AS BIGINT) AS size_b, CAST(overlap AS BIGINT) AS overlap,
-        round(CAST(overlap AS DOUBLE) / (na + nb - overlap), 6) AS jaccard
-    FROM (SELECT * FROM pairs UNION ALL SELECT * FROM copies)
+        SELECT x.c AS c, x.lead AS a, y.lead AS b, y.docs AS docs
+        FROM members x JOIN members y ON x.g = y.g AND x.c <> y.c
+        GROUP BY x.c, x.lead, x.n, y.c, y.lead, y.n, y.docs HAVING count(*) >= 0.5 * (x.n + y.n - count(*))
+    ), linked AS (SELECT c, sum(docs) AS links FROM pairs GROUP BY c),
+    each AS (SELECT doc_id, lead, docs - 1 + coalesce(links, 0) AS links FROM sets JOIN classes USING (s) LEFT JOIN linked USING (c)),
+    edges AS (SELECT a, b FROM pairs UNION SELECT doc_id, lead FROM each UNION SELECT lead, doc_id FROM each),
+    reach AS (
+        SELECT doc_id AS node, doc_id AS low FROM each
+        UNION
+        SELECT b, low FROM reach JOIN edges ON node = a WHERE low < b
+    ), named AS (SELECT node, min(low) AS low FROM reach GROUP BY node)
+    SELECT doc_id, CAST(coalesce(low, doc_id) AS BIGINT) AS class_id, CAST(coalesce(links, 0) AS BIGINT) AS links
+    FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) LEFT JOIN each USING (doc_id) LEFT JOIN named ON node = doc_id
 """
 
 _WARC = """

@@ -8,8 +8,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from graphloom.llm import jaccard as J
 from graphloom.llm.components import components
-from graphloom.llm.jaccard import divide_skip, jaccard_join, keep_one_of_each_group, search_sets
+from graphloom.llm.jaccard import divide_skip, jaccard_join, keep_one_of_each_group, near_classes, search_sets
 from tests.llm.conftest import prose
 
 
@@ -36,6 +37,22 @@ def test_search_of_sets_is_exact(least):
     assert got == want
 
 
+@pytest.mark.parametrize(("least", "column", "stripe"), [(0.3, 32, 1 << 21), (0.5, 2, 100), (0.8, 4, 7)])
+def test_products_of_dense_sets_are_exact(monkeypatch, least, column, stripe):
+    monkeypatch.setattr(J, "COLUMN", column)
+    monkeypatch.setattr(J, "STRIPE", stripe)
+    r = np.random.default_rng(4)
+    base = np.unique(r.integers(0, 1000, 80))
+    sets = [np.unique(np.concatenate([base[r.random(len(base)) < r.choice([0.2, 0.6, 0.9, 0.97])], r.integers(0, 1000, r.integers(1, 9))])).astype(np.uint64) for _ in range(70)]
+    ids, side = r.permutation(70), r.integers(0, 2, 70)
+    for s in (None, side):
+        found = []
+        for dense in (0, 1 << 40):
+            monkeypatch.setattr(J, "DENSE", dense)
+            found.append({(i, int(x)): int(c) for i, j, n in search_sets(ids, sets, least, s) for x, c in zip(j, n, strict=True)})
+        assert found[0] == found[1] and found[0]
+
+
 def sets_of(rows):
     out = {}
     for i, t in rows:
@@ -83,6 +100,53 @@ def test_pairs_are_those_of_brute_force_where_components_are_cut_into_tiles(spar
     assert got == brute(rows)
 
 
+def brute_classes(rows):
+    """(id, class, links) of documents, which are ids with a set; those of one id hang together."""
+    where = sets_of(rows)
+    links, up = {}, {i: i for i, _ in rows if i is not None}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for s, v in where.items():
+        for t, w in where.items():
+            o = len(s & t)
+            if o >= 0.5 * (len(s) + len(t) - o):
+                for i in v:
+                    links[i, s] = links.get((i, s), 0) + len(w - {i} if s == t else w)
+                for i in (*v, *w):
+                    x, y = sorted((find(i), find(min(v))))
+                    up[y] = x
+    out = [(i, find(i), n) for (i, _), n in links.items()]
+    return sorted(out + [(i, find(i), 0) for i in up if not any(i == x for x, _ in links)])
+
+
+@pytest.mark.parametrize("sizes", [{}, {"members_a_task": 500, "entries_a_task": 300}])
+def test_classes_and_links_are_those_of_brute_force(spark, none, sizes):
+    r = random.Random(3)
+    base = prose(r, 80)
+    crowd = [" ".join(r.choice(["new", "other", "words"]) if r.random() < 0.06 else w for w in base.split()) for _ in range(40)]
+    rows = [*corpus(), *((100 + i, t) for i, t in enumerate(crowd)), (150, crowd[0]), (151, crowd[3].upper()), (500, None), (501, ""), (None, crowd[1]), (502, "!!"), (3, corpus()[3][1]), (3, corpus()[3][1]), (7, crowd[2])]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, links string")
+    assert sorted(tuple(x) for x in near_classes(docs, **sizes).collect()) == brute_classes(rows)
+    if not sizes:
+        assert near_classes(none).count() == 0
+
+
+def test_pairs_of_a_large_cluster_are_not_formed(spark, monkeypatch):
+    """Near copies of one text hang together by as many stars, and no pair of theirs goes through a shuffle."""
+    r = random.Random(6)
+    base = prose(r, 120)
+    rows = [(i, " ".join("new" if r.random() < 0.02 else w for w in base.split()) + f" x{i} y{i}") for i in range(150)]
+    seen, real = {}, J.written
+    monkeypatch.setattr(J, "written", lambda df, name: seen.setdefault(name, real(df, name)))
+    got = near_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(x) for x in got.collect()) == brute_classes(rows)
+    assert seen["stars"].count() < 5 * 150 and seen["candidates"].count() < 5 * 150 and seen["links"].count() == 150
+
+
 def test_an_id_with_several_texts_has_one_row_a_pair_and_none_with_itself(spark):
     t = "one two three four five six"
     docs = spark.createDataFrame([(1, t), (1, t + " seven"), (1, t), (2, t), (3, t + " seven eight"), (3, t + " seven")], "doc_id long, text string")
@@ -126,6 +190,12 @@ def test_one_of_each_group_stays(spark, odd, none):
     assert keep_one_of_each_group(none).count() == 0
 
 
+@pytest.mark.parametrize("edges", [0, 10**6])
+def test_components_by_rounds_and_in_one_task(spark, monkeypatch, edges):
+    monkeypatch.setattr("graphloom.llm.components.ONE_TASK", edges)
+    test_components(spark)
+
+
 def test_components(spark):
     r = random.Random(9)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 360)] + [(7, 7), (None, 3), (1, 0), (0, 1)]
