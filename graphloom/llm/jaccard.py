@@ -21,6 +21,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,9 +51,25 @@ _MASK = np.uint64((1 << BITS) - 1)
 _SALT = np.uint64(0x9FB21C651E98DF25)
 
 
+def small_letters(column: pa.Array) -> pa.Array:
+    """Texts with the capitals of all scripts made small; bytes that aren't UTF-8 leave their text as it is."""
+    try:
+        return pc.utf8_lower(column)
+    except pa.ArrowInvalid:
+        parts = []
+        for i in range(len(column)):
+            one = column.slice(i, 1)
+            try:
+                one = pc.utf8_lower(one)
+            except pa.ArrowInvalid:
+                pass
+            parts.append(one)
+        return pa.concat_arrays(parts)
+
+
 def member_sets(column: pa.Array, gram: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted members) for each text with a word; texts of fewer than `gram` words have one member."""
-    for base, w in word_slices(column, folded=True):
+    """(row, sorted members) for each text with a word, in small letters of any script; texts of fewer than `gram` words have one member."""
+    for base, w in word_slices(small_letters(column), folded=True):
         h = gram_hashes(w.hashes, gram) & _MASK
         for t, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
             if b - a >= gram:

@@ -135,6 +135,21 @@ def test_classes_and_links_are_those_of_brute_force(spark, none, sizes):
         assert near_classes(none).count() == 0
 
 
+def test_texts_that_share_an_id_lose_no_link_of_their_copies(spark):
+    """Ids 7 and 9 have similar texts, both of which id 5 has too, so that both are known by that id."""
+    x = "one two three four five six seven"
+    rows = [(5, x), (5, x + " eight"), (7, x), (9, x + " eight")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in near_classes(docs).collect()) == [(5, 5, 3), (5, 5, 3), (7, 5, 3), (9, 5, 3)] == brute_classes(rows)
+
+
+def test_capitals_of_every_script_are_small_letters(spark):
+    texts = ["ТИХИЙ ОКЕАН ШУМИТ ДО УТРА", "тихий океан шумит до утра", "ΜΙΑ ΚΑΛΗ ΜΕΡΑ ΕΔΩ", "μια καλη μερα εδω"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(tuple(r) for r in near_classes(docs).collect()) == [(0, 0, 1), (1, 0, 1), (2, 2, 1), (3, 2, 1)]
+    assert sorted((r["doc_id_a"], r["doc_id_b"]) for r in jaccard_join(docs).collect()) == [(0, 1), (2, 3)]
+
+
 def test_pairs_of_a_large_cluster_are_not_formed(spark, monkeypatch):
     """Near copies of one text hang together by as many stars, and no pair of theirs goes through a shuffle."""
     r = random.Random(6)
