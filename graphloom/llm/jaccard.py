@@ -673,11 +673,11 @@ def _borders(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
 
 
 def keep_one_of_each_group(docs: DataFrame, *, gram: int = GRAM, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose id hangs together with a lesser one by pairs of jaccard_join().
+    """docs without the rows whose id is of a class of near_classes() with a lesser one.
 
     Of rows that repeat an id, and of those with a null id or no words, all stay.
     """
-    pairs = written(jaccard_join(docs, gram=gram, least=least, id_col=id_col, text_col=text_col).select(f"{id_col}_a", f"{id_col}_b"), "pairs")
-    dropped = components(pairs, f"{id_col}_a", f"{id_col}_b").where("node <> component").select(F.col("node").alias("jaccard_dropped"))
+    names = _classes(docs, gram, least, id_col, text_col)[3]
+    dropped = names.where("doc <> component").select(F.col("doc").alias("jaccard_dropped"))
     # As above, a shuffle at every size: the ids that go grow with the documents.
     return docs.join(dropped.hint("merge"), docs[f"`{id_col}`"] == dropped["jaccard_dropped"], "left_anti")
