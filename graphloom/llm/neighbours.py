@@ -25,6 +25,8 @@ from graphloom.llm.shared import whole_ids, written
 BLOCK_BYTES = 32 << 20
 #: Rows of a tile's product that stand in memory at once, and the columns of which a query's bar takes one value.
 STRIPE, PART = 256, 32
+#: Parts in which the finds of a block of queries are merged.
+PARTS = 16
 #: Components whose products of int8 codes sum exactly in float32: 1040 * 127**2 < 2**24.
 EXACT = 1040
 _FIELDS = ("ids", "data", "norm", "codes", "scale", "error")
@@ -133,11 +135,25 @@ def tile(a: Block, b: Block, k: int, own: bool = False) -> tuple[tuple[np.ndarra
     return forth, back
 
 
-def nearest(vectors: DataFrame, *, k: int = 10, block_bytes: int = BLOCK_BYTES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, neighbour_id, rank, cosine) of the k nearest other vectors of every vector, by cosine.
+def search(q: Block, x: Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of x, cosine) of the nearest rows of x, whose ids are in order, for each row of q; none is its own neighbour."""
+    parts = []
+    for r in range(0, len(q.ids), STRIPE):
+        rows = np.arange(r, min(r + STRIPE, len(q.ids)))
+        product = code_products(q.codes[rows], x.codes)
+        at = np.minimum(np.searchsorted(x.ids, q.ids[rows]), len(x.ids) - 1)
+        itself = np.flatnonzero(x.ids[at] == q.ids[rows])
+        product[itself, at[itself]] = -np.inf
+        i, j, _ = survivors(product, q.scale[rows], x.scale, q.error[rows], float(x.error.max(initial=0)), k)
+        parts.append(_ranked(q, x, rows[i], j, k))
+    return tuple(np.concatenate(z) for z in zip(*parts, strict=True))
 
-    Every row is a query and every pair of blocks is a tile, so the result is exact; the work grows with
-    the square of the rows. A block is sent to as many tiles as there are blocks, which are as few as
+
+def nearest(vectors: DataFrame, *, k: int = 10, every: int = 1, block_bytes: int = BLOCK_BYTES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(id, neighbour_id, rank, cosine) of the k nearest other vectors, by cosine, of every vector whose id is divisible by `every`.
+
+    With `every` 1, every row is a query and every pair of blocks is a tile, so the result is exact; the work grows with
+    the square of the rows. Else blocks of queries meet all blocks, which is as exact. A block is sent to as many tiles as there are blocks, which are as few as
     block_bytes and the number of cores allow. Ranks are from 1; cosines are rounded to 12 decimals, and
     ties go to the smaller id.
 
@@ -178,23 +194,6 @@ def nearest(vectors: DataFrame, *, k: int = 10, block_bytes: int = BLOCK_BYTES,
         yield pa.RecordBatch.from_pydict({"d": pa.array([d], pa.int32()), "g": pa.array([g], pa.int32()), "b": pa.array([b], pa.int32()), **block.packed()})
 
     packed = written(rows.groupBy("d", "g", "b").applyInArrow(gather, "d int, g int, b int, " + ", ".join(f"{n} binary" for n in _FIELDS)), "blocks")
-    other = F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o")
-    sides = packed.select("*", other).select("d", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", *_FIELDS)
-    tiles = min(100_000, sum(g * (g + 1) // 2 for g in blocks.values()))
-
-    def join(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d, i, j = (x.as_py() for x in key)
-        held = {}
-        for batch in batches:
-            for t in range(batch.num_rows):
-                row = {n: batch.column(n)[t] for n in batch.schema.names}
-                held[row["b"].as_py()] = Block.unpacked(row, d, kind)
-        if i not in held or j not in held:  # a block without rows
-            return
-        for b, q, x, (r, s, c) in zip((i, j), (held[i], held[j]), (held[j], held[i]), tile(held[i], held[j], k, i == j), strict=True):
-            if len(r):
-                yield pa.RecordBatch.from_pydict({"d": pa.array([d], pa.int32()), "b": pa.array([b], pa.int32()), "q": [q.ids[r].tobytes()], "x": [x.ids[s].tobytes()], "c": [c.tobytes()]})
-
     def merge(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps: dict[int, list[tuple[float, int]]] = {}
         for batch in batches:
@@ -212,5 +211,53 @@ def nearest(vectors: DataFrame, *, k: int = 10, block_bytes: int = BLOCK_BYTES,
             yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in (a, b, n)), pa.array(c, pa.float64())], names=["id", "neighbour_id", "rank", "cosine"])
 
     key = ("d", "i", "j")
+    if every > 1:
+        asked = {r["d"]: r["n"] for r in one.where(F.col("id") % every == 0).groupBy("d").agg(F.count("*").alias("n")).collect()}
+        if not asked:
+            return spark.createDataFrame([], schema).toDF(*names)
+        groups = {d: -(-n // most_rows[d]) for d, n in asked.items()}
+        some = F.broadcast(spark.createDataFrame(list(groups.items()), "d int, g int"))
+        queries = one.where(F.col("id") % every == 0).join(some, "d").withColumn("b", F.pmod(F.xxhash64("id"), "g").cast("int"))
+        queries = written(queries.groupBy("d", "g", "b").applyInArrow(gather, "d int, g int, b int, " + ", ".join(f"{n} binary" for n in _FIELDS)), "queries")
+        series = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        asking = queries.drop("g").join(counts, "d").withColumn("j", series("g")).select("d", F.col("b").alias("i"), "j", F.lit(True).alias("asks"), *_FIELDS)
+        asked_of = packed.drop("g").join(some, "d").withColumn("i", series("g")).select("d", "i", F.col("b").alias("j"), F.lit(False).alias("asks"), *_FIELDS)
+
+        def ask(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            d, i, _ = (x.as_py() for x in key)
+            held = {}
+            for batch in batches:
+                for t in range(batch.num_rows):
+                    row = {n: batch.column(n)[t] for n in batch.schema.names}
+                    held[row["asks"].as_py()] = Block.unpacked(row, d, kind)
+            if len(held) < 2:  # a block without rows
+                return
+            q, x = held[True], held[False]
+            r, s, c = search(q, x, k)
+            for part in range(PARTS):  # merged apart
+                p = r % PARTS == part
+                if p.any():
+                    yield pa.RecordBatch.from_pydict({"d": pa.array([d], pa.int32()), "b": pa.array([i * PARTS + part], pa.int32()), "q": [q.ids[r[p]].tobytes()], "x": [x.ids[s[p]].tobytes()], "c": [c[p].tobytes()]})
+
+        tiles = min(100_000, sum(groups[d] * blocks[d] for d in groups))
+        found = asking.unionByName(asked_of).repartition(tiles, *key).groupBy(*key).applyInArrow(ask, "d int, b int, q binary, x binary, c binary")
+        return found.groupBy("d", "b").applyInArrow(merge, schema).toDF(*names)
+    other = F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o")
+    sides = packed.select("*", other).select("d", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", *_FIELDS)
+    tiles = min(100_000, sum(g * (g + 1) // 2 for g in blocks.values()))
+
+    def join(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d, i, j = (x.as_py() for x in key)
+        held = {}
+        for batch in batches:
+            for t in range(batch.num_rows):
+                row = {n: batch.column(n)[t] for n in batch.schema.names}
+                held[row["b"].as_py()] = Block.unpacked(row, d, kind)
+        if i not in held or j not in held:  # a block without rows
+            return
+        for b, q, x, (r, s, c) in zip((i, j), (held[i], held[j]), (held[j], held[i]), tile(held[i], held[j], k, i == j), strict=True):
+            if len(r):
+                yield pa.RecordBatch.from_pydict({"d": pa.array([d], pa.int32()), "b": pa.array([b], pa.int32()), "q": [q.ids[r].tobytes()], "x": [x.ids[s].tobytes()], "c": [c.tobytes()]})
+
     found = sides.repartition(tiles, *key).groupBy(*key).applyInArrow(join, "d int, b int, q binary, x binary, c binary")
     return found.groupBy("d", "b").applyInArrow(merge, schema).toDF(*names)

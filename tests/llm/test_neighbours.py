@@ -75,6 +75,21 @@ def test_neighbours_are_those_of_brute_force(spark, size):
         assert [j for j, _ in mine] == [j for j, _ in want[i]] and np.allclose([c for _, c in mine], [c for _, c in want[i]])
 
 
+@pytest.mark.parametrize("size", [2_000, 1 << 25])
+def test_queries_of_some_ids_search_all_rows(spark, size):
+    r = np.random.default_rng(7)
+    x = r.normal(size=(150, 8)).round(1)
+    x[20:40] = x[50]
+    ids = [int(v) for v in r.permutation(600)[:150]]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)] + [(7_000, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    got = {}
+    for t in nearest(frame, k=5, every=5, block_bytes=size).collect():
+        got.setdefault(t["vec_id"], {})[t["rank"]] = t["neighbour_id"]
+    want = brute(ids, x, 5)
+    assert got == {i: {n + 1: j for n, (j, _) in enumerate(want[i])} for i in ids if i % 5 == 0}
+    assert nearest(frame, every=100_003).where("vec_id <> 0").count() == 0
+
+
 def test_vectors_of_each_length_are_neighbours_of_one_another(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 1.0, 0.0]), (6, [1.0])]
     got = {}
