@@ -396,7 +396,8 @@ def doc_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", N.approx_tokens(text).alias("tokens"), F.size(N.lines(text)).cast("bigint").alias("lines"), F.element_at(N.lines(text), 1).alias("first_line"))
+    every = F.when(text == "", F.array(F.lit(""))).otherwise(N.lines(text))  # an empty text shows as one empty line here
+    return table(spark, sf_dir, "documents").select("doc_id", N.approx_tokens(text).alias("tokens"), F.size(every).cast("bigint").alias("lines"), F.get(every, 0).alias("first_line"))
 
 
 @query

@@ -47,3 +47,12 @@ def test_names(spark):
     df = spark.createDataFrame([("src/p/mod.py", "m", "C"), ("plain.py", "top", None), ("a.b/c.txt", "x", None)], "f string, n string, c string")
     assert [r[0] for r in df.select(N.fq_name(F.col("f"), F.col("n"), F.col("c"))).collect()] == ["p.mod.C.m", "plain.top", "a.b.c.txt.x"]
     assert [r[0] for r in df.select(N.path_suffixes(F.col("f"))).collect()][0] == ["src/p/mod.py", "p/mod.py", "mod.py"]
+
+
+def test_tokens_of_texts_without_lines_are_as_in_the_sql(spark, tmp_path):
+    spark.createDataFrame([(1, ""), (2, "\n"), (3, "a\nb\n"), (4, None), (5, "\n\nc")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.QUERIES["doc_tokens"](spark, str(tmp_path))
+    columns = sorted(got.columns)
+    sql = oracles.ORACLES["doc_tokens"].replace("FROM documents", f"FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = duckdb.sql(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
+    assert Counter(tuple(r) for r in got.select(*columns).collect()) == Counter(want)
