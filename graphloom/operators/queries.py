@@ -35,7 +35,12 @@ def status(graph: Graph, edges: DataFrame) -> DataFrame:
 
 
 def callers(edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Every edge with the name of its caller, <module> where no definition encloses it."""
+    """Every edge with the name of its caller, <module> where no definition encloses it.
+
+    A caller is named as the call's `enclosing`, so edges that kept this column need no join.
+    """
+    if "enclosing" in edges.columns:
+        return edges.withColumn("caller", F.when(F.col("caller_id").isNotNull(), F.col("enclosing")).otherwise(MODULE)).drop("enclosing")
     who = symbols.select(F.col("id").alias("caller_id"), F.col("name").alias("caller_name"))
     return edges.join(who, "caller_id", "left").withColumn("caller", F.coalesce("caller_name", F.lit(MODULE))).drop("caller_name")
 

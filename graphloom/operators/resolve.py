@@ -6,11 +6,14 @@ joined to them, so no call site is lost or doubled; one CASE then orders the rul
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.names import BUILTINS, dotted_file, path_matches, path_suffixes
 from graphloom.schema import Graph
+from graphloom.session import few, joinable, saved
 
 #: Rule -> label.
 RULES: dict[str, str] = {
@@ -21,16 +24,37 @@ RULES: dict[str, str] = {
 
 def expand_aliases(calls: DataFrame, aliases: DataFrame) -> DataFrame:
     """calls with callee_name: the source of the file's last alias of that local name, else the name itself."""
-    last = aliases.groupBy(F.col("file").alias("al_file"), F.col("local").alias("al_local")).agg(F.max_by("source", "seq").alias("al_source"))
+    last = joinable(aliases.groupBy(F.col("file").alias("al_file"), F.col("local").alias("al_local")).agg(F.max_by("source", "seq").alias("al_source")))
     on = (F.col("file") == F.col("al_file")) & (F.col("name") == F.col("al_local"))
     return calls.join(last, on, "left").withColumn("callee_name", F.coalesce("al_source", "name")).drop("al_file", "al_local", "al_source")
 
 
-def attribute_callers(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+class Index(NamedTuple):
+    """Definitions by name, lang, file and class, which all lookups are made of, and whether they are few enough to be broadcast."""
+
+    rows: DataFrame
+    small: bool
+
+    def sent(self, table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if self.small else table
+
+
+def indexed(symbols: DataFrame) -> Index:
+    at = F.struct("seq", "id")
+    rows = saved(
+        symbols.groupBy("name", "lang", "file", F.col("parent_class").alias("parent")).agg(
+            F.count("*").alias("n"), F.min("id").alias("one"), F.min(at).alias("first"), F.max(at).alias("last"), F.min("kind").alias("kind"), F.min("base_class").alias("base")
+        )
+    )
+    return Index(rows, few(rows))
+
+
+def attribute_callers(calls: DataFrame, symbols: DataFrame, index: Index | None = None) -> DataFrame:
     """calls with caller_id: the first definition in the file with the enclosing name, or null."""
-    first = symbols.groupBy(F.col("file").alias("cl_file"), F.col("name").alias("cl_name")).agg(F.min_by("id", "seq").alias("caller_id"))
+    index = index or indexed(symbols)
+    first = index.rows.groupBy(F.col("file").alias("cl_file"), F.col("name").alias("cl_name")).agg(F.min("first")["id"].alias("caller_id"))
     on = (F.col("file") == F.col("cl_file")) & (F.col("enclosing") == F.col("cl_name"))
-    return calls.join(first, on, "left").drop("cl_file", "cl_name")
+    return calls.join(index.sent(first), on, "left").drop("cl_file", "cl_name")
 
 
 def first_imports(import_names: DataFrame) -> DataFrame:
@@ -38,9 +62,9 @@ def first_imports(import_names: DataFrame) -> DataFrame:
     return import_names.groupBy("file", "local").agg(F.min_by("source_module", F.struct("seq", "source_module")).alias("source_module"))
 
 
-def _index(symbols: DataFrame, keys: dict[str, str], prefix: str, *more: Column) -> DataFrame:
-    """One row a key: keys maps columns to new names; <prefix>_n rows, <prefix>_one an id."""
-    return symbols.groupBy(*(F.col(c).alias(n) for c, n in keys.items())).agg(F.count("*").alias(f"{prefix}_n"), F.min("id").alias(f"{prefix}_one"), *more)
+def _by(rows: DataFrame, keys: dict[str, str], prefix: str, *more: Column) -> DataFrame:
+    """One row a key of an index's rows: keys maps columns to new names; <prefix>_n definitions, <prefix>_one an id."""
+    return rows.groupBy(*(F.col(c).alias(n) for c, n in keys.items())).agg(F.sum("n").alias(f"{prefix}_n"), F.min("one").alias(f"{prefix}_one"), *more)
 
 
 def _scattered(name: str) -> Column:
@@ -48,27 +72,30 @@ def _scattered(name: str) -> Column:
     return F.coalesce(F.col(name), F.concat(F.lit("\0"), F.pmod(F.xxhash64("file", "seq"), F.lit(1000)).cast("string")))
 
 
-def resolve(calls: DataFrame, graph: Graph) -> DataFrame:
-    """calls (with callee_name) and callee_id, kind, rule."""
-    symbols = graph.symbols
-    module_level = symbols.where("parent_class is null")
+def resolve(calls: DataFrame, graph: Graph, index: Index | None = None) -> DataFrame:
+    """calls (with callee_name) and callee_id, kind, rule.
+
+    Calls are many times the lookups' rows: where these are few they are broadcast, and calls stay where they are.
+    """
+    index = index or indexed(graph.symbols)
+    module_level, methods = index.rows.where("parent is null"), index.rows.where("parent is not null")
     suffixes = graph.files.select(F.col("path").alias("sf_file"), F.explode(path_suffixes(F.col("path"))).alias("sf_suffix"))
     # One lookup of a name serves callees (of any level, and of modules), receivers and bases.
-    top = F.col("parent_class").isNull()
-    named = _index(
-        symbols, {"name": "c_name", "lang": "c_lang"}, "c", F.count(F.when(top, 1)).alias("m_n"), F.min(F.when(top, F.col("id"))).alias("m_one"), F.min("kind").alias("c_kind"), F.min("base_class").alias("c_base")
+    top = F.col("parent").isNull()
+    named = _by(
+        index.rows, {"name": "c_name", "lang": "c_lang"}, "c", F.sum(F.when(top, F.col("n"))).alias("m_n"), F.min(F.when(top, F.col("one"))).alias("m_one"), F.min("kind").alias("c_kind"), F.min("base").alias("c_base")
     )
 
     def as_(prefix: str, *columns: str) -> DataFrame:
         return named.select(*(F.col(f"c_{c}").alias(f"{prefix}_{c}") for c in ("name", "lang", "n", *columns)))
 
-    receivers, bases = as_("r", "kind", "base"), as_("b", "kind")
-    methods = symbols.where("parent_class is not null")
-    own = _index(methods, {"name": "p_name", "lang": "p_lang", "parent_class": "p_parent"}, "p")
-    inherited = _index(methods, {"name": "h_name", "lang": "h_lang", "parent_class": "h_parent"}, "h")
-    same = _index(module_level, {"name": "s_name", "lang": "s_lang", "file": "s_file"}, "s", F.max_by("id", "seq").alias("s_last"))
-    imported = _index(module_level.join(suffixes, F.col("file") == F.col("sf_file")), {"name": "i_name", "lang": "i_lang", "sf_suffix": "i_suffix"}, "i")
-    imports = first_imports(graph.import_names)
+    with_base = (F.col("r_base") == F.col("b_name")) & (F.col("r_lang") == F.col("b_lang"))
+    receivers = as_("r", "kind", "base").join(as_("b", "kind"), with_base, "left")
+    own = _by(methods, {"name": "p_name", "lang": "p_lang", "parent": "p_parent"}, "p")
+    inherited = _by(methods, {"name": "h_name", "lang": "h_lang", "parent": "h_parent"}, "h")
+    same = _by(module_level, {"name": "s_name", "lang": "s_lang", "file": "s_file"}, "s", F.max("last")["id"].alias("s_last"))
+    imported = _by(module_level.join(suffixes, F.col("file") == F.col("sf_file")), {"name": "i_name", "lang": "i_lang", "sf_suffix": "i_suffix"}, "i")
+    imports = saved(first_imports(graph.import_names))
     of_name = imports.select(F.col("file").alias("im_file"), F.col("local").alias("im_local"), dotted_file(F.col("source_module")).alias("im_path"))
     inside = suffixes.select(F.col("sf_suffix").alias("in_path")).distinct().withColumn("in_repo", F.lit(True))
     of_receiver = (
@@ -76,6 +103,8 @@ def resolve(calls: DataFrame, graph: Graph) -> DataFrame:
         .join(inside, F.col("x_path") == F.col("in_path"), "left")
         .select("x_file", "x_local", F.col("in_repo").isNull().alias("x_external"))
     )
+    if few(imports):
+        of_name, of_receiver = F.broadcast(of_name), F.broadcast(of_receiver)
 
     def at(name: str, lang: str, *more: Column) -> Column:
         on = (F.col("callee_name") == F.col(name)) & (F.col("lang") == F.col(lang))
@@ -86,15 +115,13 @@ def resolve(calls: DataFrame, graph: Graph) -> DataFrame:
     func, method = F.col("call_kind") == "func", F.col("call_kind") == "method"
     rc = F.col("receiver_class")
     joined = (
-        calls.withColumn("r_key", _scattered("receiver_class")).join(named, at("c_name", "c_lang"), "left")
-        .join(same, at("s_name", "s_lang", F.col("file") == F.col("s_file"), func), "left")
+        calls.withColumn("r_key", rc if index.small else _scattered("receiver_class")).join(index.sent(named), at("c_name", "c_lang"), "left")
+        .join(index.sent(same), at("s_name", "s_lang", F.col("file") == F.col("s_file"), func), "left")
         .join(of_name, (F.col("file") == F.col("im_file")) & (F.col("callee_name") == F.col("im_local")) & func, "left")
-        .join(imported, at("i_name", "i_lang", F.col("im_path") == F.col("i_suffix")), "left")
-        .join(receivers, (F.col("r_key") == F.col("r_name")) & (F.col("lang") == F.col("r_lang")) & method, "left")
-        .join(own, at("p_name", "p_lang", rc == F.col("p_parent"), method), "left")
-        .withColumn("b_key", _scattered("r_base"))
-        .join(bases, (F.col("b_key") == F.col("b_name")) & (F.col("lang") == F.col("b_lang")), "left")
-        .join(inherited, at("h_name", "h_lang", F.col("r_base") == F.col("h_parent")), "left")
+        .join(index.sent(imported), at("i_name", "i_lang", F.col("im_path") == F.col("i_suffix")), "left")
+        .join(index.sent(receivers), (F.col("r_key") == F.col("r_name")) & (F.col("lang") == F.col("r_lang")) & method, "left")
+        .join(index.sent(own), at("p_name", "p_lang", rc == F.col("p_parent"), method), "left")
+        .join(index.sent(inherited), at("h_name", "h_lang", F.col("r_base") == F.col("h_parent")), "left")
         .join(of_receiver, (F.col("file") == F.col("x_file")) & (rc == F.col("x_local")) & method, "left")
     )
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
@@ -126,12 +153,13 @@ def resolve(calls: DataFrame, graph: Graph) -> DataFrame:
     return out.withColumn("kind", labels[F.col("rule")])
 
 
-def edges_of(graph: Graph) -> DataFrame:
-    """One row for each call site: file, seq, line, lang, caller_id, callee_id, callee_name, kind, rule, call_kind, receiver_class, name."""
-    calls = attribute_callers(expand_aliases(graph.call_sites, graph.aliases), graph.symbols)
-    return edges_of_calls(calls, graph)
+def edges_of(graph: Graph, *more: str) -> DataFrame:
+    """One row for each call site: file, seq, line, lang, caller_id, callee_id, callee_name, kind, rule, call_kind, receiver_class, name; more: other columns of call sites."""
+    index = indexed(graph.symbols)
+    calls = attribute_callers(expand_aliases(graph.call_sites, graph.aliases), graph.symbols, index)
+    return edges_of_calls(calls, graph, *more, index=index)
 
 
-def edges_of_calls(calls: DataFrame, graph: Graph) -> DataFrame:
+def edges_of_calls(calls: DataFrame, graph: Graph, *more: str, index: Index | None = None) -> DataFrame:
     """Edges of calls that have callee_name and caller_id; see edges_of()."""
-    return resolve(calls, graph).select("file", "seq", "line", "lang", "caller_id", "callee_id", "callee_name", "name", "kind", "rule", "call_kind", "receiver_class")
+    return resolve(calls, graph, index).select("file", "seq", "line", "lang", "caller_id", "callee_id", "callee_name", "name", "kind", "rule", "call_kind", "receiver_class", *more)

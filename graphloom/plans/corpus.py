@@ -6,23 +6,29 @@ contents. SURVEY and FIXTURES describe the formulas; SQL for the same corpus is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.schema import Graph
+from graphloom.session import saved
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Of a part's key k; m is k div 4 % 40, which decides on the package too.
+_M = "k div 4 % 40"
+_FILE = f"concat('pkg', {_M} % 5, '/m', {_M}, if({_M} % 3 = 0, '.rs', '.py'))"
+_LANG = f"if({_M} % 3 = 0, 'rust', 'python')"
+_START = "k div 160 * 40 + case k % 4 when 0 then 1 when 1 then 3 when 2 then 14 else 31 end"
+
+
 def _symbols(part: DataFrame) -> DataFrame:
     k = (
         part.select(F.col("p_partkey").alias("k"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("base"), "p_size", "p_brand")
-        .withColumns({"role": F.expr("k % 4"), "m": F.expr("k div 4 % 40"), "p": F.expr("k div 4 % 5"), "top": F.expr("k div 160 * 40")})
-        .withColumn("lang", F.expr("if(m % 3 = 0, 'rust', 'python')"))
+        .withColumns({"role": F.expr("k % 4"), "top": F.expr("k div 160 * 40"), "lang": F.expr(_LANG), "file": F.expr(_FILE)})
         .withColumn("name", F.expr("case role when 0 then concat('C_', base, '_', p_size) when 3 then concat('f_', base) else base end"))
-        .withColumn("file", F.expr("concat('pkg', p, '/m', m, if(m % 3 = 0, '.rs', '.py'))"))
     )
     count = part.agg(F.count("*").alias("n"))  # one row
     owners = k.where("role = 0").select(F.col("k").alias("owner"), F.col("name").alias("owner_name"))
@@ -35,8 +41,7 @@ def _symbols(part: DataFrame) -> DataFrame:
     )
     return joined.select(
         F.col("k").alias("id"), "file", F.col("k").alias("seq"), "name", F.expr("if(role = 0, 'class', 'function')").alias("kind"),
-        F.col("owner_name").alias("parent_class"),
-        F.expr("top + case role when 0 then 1 when 1 then 3 when 2 then 14 else 31 end").alias("start_line"),
+        F.col("owner_name").alias("parent_class"), F.expr(_START).alias("start_line"),
         F.expr("top + case role when 0 then 30 when 1 then 12 when 2 then 28 else 39 end").alias("end_line"),
         F.expr("concat(if(role = 0, 'class ', 'def '), name, if(role = 0, ':', '():'))").alias("signature"),
         F.lit(None).cast("string").alias("ret_class"), "base_class", F.expr("if(k % 2 = 0, concat('Made by ', p_brand), null)").alias("docstring"), "lang",
@@ -44,26 +49,34 @@ def _symbols(part: DataFrame) -> DataFrame:
 
 
 def _call_sites(lineitem: DataFrame, symbols: DataFrame, n: DataFrame) -> DataFrame:
-    s = symbols.select("id", "file", "lang", "name", "kind", "parent_class", "start_line")
-    caller = s.select(F.col("id").alias("l_partkey"), "file", "lang", F.col("name").alias("enclosing"), "start_line")
+    """Items are shuffled twice, as few columns: to what they call, and to their file, where callers are found and calls numbered.
+
+    Symbols are as many as parts, so none of this waits for a broadcast of them; only 50 can be `other`. Callers go
+    among the items: a join by file and key would be a shuffle of its own, as the numbering is by file.
+    """
+    s = symbols.select("id", "file", "name", "kind", "parent_class")
     called = s.select(F.col("id").alias("callee"), F.col("name").alias("callee_name"), F.expr("coalesce(parent_class, if(kind = 'class', name, null))").alias("callee_class"))
-    other = s.select(F.col("id").alias("other"), F.col("name").alias("other_class"))
+    other = s.where("id % 4 = 0 and id between 0 and 196").select(F.col("id").alias("other"), F.col("name").alias("other_class"))
     items = (
-        lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
-        .crossJoin(F.broadcast(n))
-        .withColumns({"callee": F.expr("(31 * l_orderkey + 7 * l_suppkey + l_linenumber) % (5 * n div 4)"), "other": F.expr("4 * (l_orderkey % 50)")})
-        .join(caller, "l_partkey").join(called, "callee", "left").join(other, "other", "left")
-        .withColumns({
-            "call_kind": F.expr("if(l_returnflag = 'N', 'func', 'method')"),
-            "name": F.expr("coalesce(callee_name, concat('ext_', l_orderkey % 17))"),
-            "receiver_class": F.expr("""case when l_returnflag <> 'R' then null when l_suppkey % 4 = 0 then 'dict' when l_suppkey % 4 = 1 then 'Pool'
-                when l_linestatus = 'F' then coalesce(callee_class, 'Nope') else coalesce(other_class, 'Nope') end"""),
-        })
+        lineitem.crossJoin(F.broadcast(n))
+        .select(
+            "l_orderkey", F.col("l_partkey").alias("k"), "l_suppkey", "l_linenumber", F.expr("coalesce(l_returnflag = 'N', false)").alias("func"),
+            F.expr("(31 * l_orderkey + 7 * l_suppkey + l_linenumber) % (5 * n div 4)").alias("callee"), F.expr("4 * (l_orderkey % 50)").alias("other"),
+            F.expr("case when l_returnflag <> 'R' then 0 when l_suppkey % 4 = 0 then 1 when l_suppkey % 4 = 1 then 2 when l_linestatus = 'F' then 3 else 4 end").alias("receiver"),
+        )
+        .join(called.hint("shuffle_hash"), "callee", "left").join(F.broadcast(other), "other", "left")
+        .select(
+            F.expr(_FILE).alias("file"), "k", "l_orderkey", "l_suppkey", "l_linenumber", "func", F.expr("coalesce(callee_name, concat('ext_', l_orderkey % 17))").alias("name"),
+            F.expr("case receiver when 0 then null when 1 then 'dict' when 2 then 'Pool' when 3 then coalesce(callee_class, 'Nope') else coalesce(other_class, 'Nope') end").alias("receiver_class"),
+        )
     )
-    order = "l_orderkey, l_linenumber, l_suppkey, l_partkey, name, call_kind, receiver_class"
-    return items.select(
-        "file", F.expr(f"row_number() over (partition by file order by {order})").cast("bigint").alias("seq"), "lang", "enclosing", "name",
-        F.expr("start_line + 1 + l_linenumber").alias("line"), "call_kind", "receiver_class",
+    callers = s.select("file", F.col("id").alias("k"), F.struct(F.col("name").alias("enclosing")).alias("caller"))
+    found = F.collect_list("caller").over(Window.partitionBy("file", "k"))  # one, or none where no part has the key
+    placed = items.unionByName(callers, allowMissingColumns=True).repartition("file").withColumn("callers", found).where("func is not null")
+    order = "l_orderkey, l_linenumber, l_suppkey, k, name, not func, receiver_class"
+    return placed.withColumn("caller", F.explode("callers")).select(
+        "file", F.expr(f"row_number() over (partition by file order by {order})").cast("bigint").alias("seq"), F.expr(_LANG).alias("lang"), "caller.enclosing", "name",
+        F.expr(f"{_START} + 1 + l_linenumber").alias("line"), F.expr("if(func, 'func', 'method')").alias("call_kind"), "receiver_class",
     )
 
 
@@ -94,10 +107,10 @@ def derived(spark: SparkSession, sf_dir: str, aliased: bool = False) -> Graph:
     """The graph; aliases are left out unless `aliased`."""
     part = table(spark, sf_dir, "part")
     n = part.agg(F.count("*").alias("n"))
-    symbols = _symbols(part)
+    symbols = saved(_symbols(part))
     names = _import_names(symbols)
     aliases = _aliases(table(spark, sf_dir, "orders"), symbols, n)
-    documents = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    documents = table(spark, sf_dir, "documents").where("doc_id between 0 and 199").select("doc_id", F.col("text").alias("content"))  # m * 5 + p is at most 39 * 5 + 4
     paths = symbols.select(F.col("file").alias("path"), "lang").distinct().withColumn("doc_id", F.expr("bigint(regexp_extract(path, 'm([0-9]+)', 1)) * 5 + bigint(regexp_extract(path, 'pkg([0-9]+)', 1))"))
     files = paths.join(documents, "doc_id", "left").select("path", F.sha2(F.coalesce("content", F.lit("")), 256).alias("hash"), "lang", "content")
     return Graph(

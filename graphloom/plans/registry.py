@@ -29,7 +29,7 @@ def query(f: Query) -> Query:
 
 def _edges(spark: SparkSession, sf_dir: str) -> tuple[Graph, DataFrame]:
     g = derived(spark, sf_dir)
-    return g, R.edges_of(g)
+    return g, R.edges_of(g, "enclosing")
 
 
 def _shown(rows: DataFrame, *numbers: str) -> DataFrame:

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import session
 from graphloom.functions import names as N
 from graphloom.plans import oracles, registry
 
@@ -56,3 +57,42 @@ def test_tokens_of_texts_without_lines_are_as_in_the_sql(spark, tmp_path):
     sql = oracles.ORACLES["doc_tokens"].replace("FROM documents", f"FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     want = duckdb.sql(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
     assert Counter(tuple(r) for r in got.select(*columns).collect()) == Counter(want)
+
+
+def _shuffles_of_calls(df) -> int:
+    """Exchanges that rows of lineitem go through before they are aggregated or cut to the first of a group."""
+
+    def walk(node) -> tuple[int, bool] | None:
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.initialPlan())
+        if name.startswith("Scan parquet"):
+            return (0, True) if "l_orderkey" in node.output().mkString(",") else None
+        children = node.children()
+        below = next(filter(None, (walk(children.apply(i)) for i in range(children.size()))), None)
+        if below is None:
+            return None
+        count, whole = below
+        whole = whole and "Aggregate" not in name and name != "WindowGroupLimit"
+        return count + (whole and name == "Exchange"), whole
+
+    return walk(df._jdf.queryExecution().executedPlan())[0]
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no tables")
+@pytest.mark.parametrize("name", ["resolve_edges"])
+def test_calls_are_shuffled_twice(spark, name):
+    """To the definition that they call and to their file; where lookups are few, nothing else moves them, whatever Spark thinks of sizes."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert _shuffles_of_calls(registry.QUERIES[name](spark, DATA)) == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no tables")
+@pytest.mark.parametrize("name", ["resolve_edges"])
+def test_rows_are_the_same_where_lookups_are_many(spark, duck, monkeypatch, name):
+    monkeypatch.setattr(session, "FEW", 0)
+    test_rows_are_those_of_the_sql(spark, duck, name)
