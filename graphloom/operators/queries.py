@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.names import dotted_file, fq_name, has_source_ext, module_file, path_suffixes
 from graphloom.schema import Graph
+from graphloom.session import joinable
 
 MODULE = "<module>"
 
@@ -60,11 +61,15 @@ def callees(edges: DataFrame, symbols: DataFrame, target: Column) -> DataFrame:
 
     target: an expression on caller_* columns of symbols that groups definitions into targets.
     """
-    defs = symbols.select(
-        F.col("id").alias("caller_id"), target.alias("target"), F.struct(F.col("file"), F.col("start_line"), F.col("id")).alias("target_order")
-    )
+    # Of a definition's calls of one name and edge only the first can be it; where edges lie by file, that takes no shuffle.
+    calls = edges.where("caller_id is not null").groupBy("file", "caller_id", "callee_name", "kind", "callee_id").agg(F.min("seq").alias("seq"))
+    named = symbols.groupBy("file", "name").agg(F.min(F.struct("seq", "id"))["id"].alias("id"))  # callers are the first of a name in their file
+    defs = joinable(
+        symbols.join(named.select("id"), "id", "left_semi")
+        .select(F.col("id").alias("caller_id"), target.alias("target"), F.struct(F.col("file"), F.col("start_line"), F.col("id")).alias("target_order"))
+    )
     order = Window.partitionBy("target", "callee_name").orderBy("target_order", "seq")
-    first = edges.join(defs, "caller_id").withColumn("place", F.row_number().over(order)).where("place = 1")
+    first = calls.join(defs, "caller_id").withColumn("place", F.row_number().over(order)).where("place = 1")
     to = symbols.select(F.col("id").alias("callee_id"), F.col("file").alias("callee_file"), F.col("start_line").alias("callee_line"), "signature", "docstring")
     return first.join(to, "callee_id", "left").select("target", "callee_name", F.col("kind").alias("resolution"), "callee_file", "callee_line", "signature", "docstring")
 
