@@ -7,12 +7,15 @@ others stay, and the result equals a full rebuild.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.names import dotted_file, path_suffixes
-from graphloom.operators.resolve import attribute_callers, edges_of_calls, expand_aliases
+from graphloom.operators.resolve import attribute_callers, edges_of_calls, expand_aliases, indexed
 from graphloom.schema import Graph
+from graphloom.session import joinable
 
 
 def changed_files(stored: DataFrame, disk: DataFrame) -> DataFrame:
@@ -41,34 +44,40 @@ def affected_names(before: DataFrame, after: DataFrame, changes: DataFrame) -> D
     return both.join(paths, "file", "left_semi").select("name").distinct()
 
 
-def _reached(rows: DataFrame, before: Graph, after: Graph, changes: DataFrame) -> DataFrame:
-    """rows (calls or edges, with file, callee_name and receiver_class) and `reached`: whether the changes may alter their edges.
+def _reach(before: Graph, after: Graph, changes: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A function of rows (calls or edges, with file, callee_name and receiver_class) that adds `reached`: whether the changes may alter their edges.
 
     That is so in a changed file; where a changed file defines, or defined, the callee's name, the receiver's
     or its base's; and where the receiver is imported from a module whose file has come or gone.
     """
-    names = affected_names(before.symbols, after.symbols, changes)
+    names = joinable(affected_names(before.symbols, after.symbols, changes))
     derived = [g.symbols.join(names.withColumnRenamed("name", "base_class"), "base_class", "left_semi").select("name") for g in (before, after)]
-    receivers = names.union(derived[0]).union(derived[1]).distinct()
+    receivers = joinable(names.union(derived[0]).union(derived[1]).distinct())
     moved = changes.where("change <> 'changed'").select(F.explode(path_suffixes(F.col("path"))).alias("moved")).distinct()
-    imported = after.import_names.join(moved, dotted_file(F.col("source_module")) == F.col("moved"), "left_semi").select(F.col("file").alias("i_file"), F.col("local").alias("i_local")).distinct()
+    imported = joinable(after.import_names.join(moved, dotted_file(F.col("source_module")) == F.col("moved"), "left_semi").select(F.col("file").alias("i_file"), F.col("local").alias("i_local")).distinct())
+    paths = joinable(changes.select(F.col("path").alias("file")))
     yes = F.lit(True)
-    return (
-        rows.join(changes.select(F.col("path").alias("file"), yes.alias("by_file")), "file", "left")
-        .join(names.select(F.col("name").alias("callee_name"), yes.alias("by_name")), "callee_name", "left")
-        .join(receivers.select(F.col("name").alias("receiver_class"), yes.alias("by_receiver")), "receiver_class", "left")
-        .join(imported.withColumn("by_import", yes), (F.col("file") == F.col("i_file")) & (F.col("receiver_class") == F.col("i_local")), "left")
-        .withColumn("reached", F.coalesce("by_file", "by_name", "by_receiver", "by_import", F.lit(False)))
-        .select(*rows.columns, "reached")
-    )
+
+    def reached(rows: DataFrame) -> DataFrame:
+        return (
+            rows.join(paths.withColumn("by_file", yes), "file", "left")
+            .join(names.select(F.col("name").alias("callee_name"), yes.alias("by_name")), "callee_name", "left")
+            .join(receivers.select(F.col("name").alias("receiver_class"), yes.alias("by_receiver")), "receiver_class", "left")
+            .join(imported.withColumn("by_import", yes), (F.col("file") == F.col("i_file")) & (F.col("receiver_class") == F.col("i_local")), "left")
+            .withColumn("reached", F.coalesce("by_file", "by_name", "by_receiver", "by_import", F.lit(False)))
+            .select(*rows.columns, "reached")
+        )
+
+    return reached
 
 
 def incremental_edges(edges: DataFrame, before: Graph, after: Graph, changes: DataFrame) -> DataFrame:
     """Edges of `after`, from those of `before`: what the changes (path, change) can't reach is taken over."""
-    kept = _reached(edges, before, after, changes).where("not reached").drop("reached")
-    calls = attribute_callers(expand_aliases(after.call_sites, after.aliases), after.symbols)
-    fresh = _reached(calls, before, after, changes).where("reached").drop("reached")
-    return kept.unionByName(edges_of_calls(fresh, after))
+    reached, index = _reach(before, after, changes), indexed(after.symbols)
+    kept = reached(edges).where("not reached").drop("reached")
+    calls = attribute_callers(expand_aliases(after.call_sites, after.aliases), after.symbols, index)
+    fresh = reached(calls).where("reached").drop("reached")
+    return kept.unionByName(edges_of_calls(fresh, after, index=index))
 
 
 def relabelled(before: DataFrame, after: DataFrame, symbols_before: DataFrame, symbols_after: DataFrame, changes: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from graphloom.operators import resolve as R
 from graphloom.plans import samples
 from graphloom.plans.corpus import derived, table
 from graphloom.schema import Graph
-from graphloom.session import saved
+from graphloom.session import joinable, saved
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -327,9 +327,9 @@ def delta_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def delta_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of the graph kept by delta; its SQL rebuilds them from the edited corpus."""
-    before = derived(spark, sf_dir).map(lambda n, t: saved(t) if n in ("files", "symbols", "import_names", "call_sites") else t)
+    before = derived(spark, sf_dir).map(lambda n, t: saved(t) if n in ("files", "import_names", "call_sites") else t)
     after = _mutated(before)
-    changes = saved(D.changed_files(before.files, after.files))
+    changes = joinable(D.changed_files(before.files, after.files))
     alive = changes.where("change <> 'deleted'").select(F.col("path").alias("again"))
     parsed = after.map(lambda n, t: t.join(alive, F.col("path" if n == "files" else "file") == F.col("again"), "left_semi"))
     edges = D.incremental_edges(saved(R.edges_of(before)), before, D.refreshed(before, changes, parsed), changes)

@@ -92,7 +92,7 @@ def test_calls_are_shuffled_twice(spark, name):
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no tables")
-@pytest.mark.parametrize("name", ["resolve_edges"])
+@pytest.mark.parametrize("name", ["resolve_edges", "delta_edges"])
 def test_rows_are_the_same_where_lookups_are_many(spark, duck, monkeypatch, name):
     monkeypatch.setattr(session, "FEW", 0)
     test_rows_are_those_of_the_sql(spark, duck, name)
