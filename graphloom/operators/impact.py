@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.names import fq_name
 from graphloom.operators.queries import callers
+from graphloom.session import joinable
 
 #: Callers that are listed for a symbol; all are counted.
 CALLERS = 20
@@ -14,7 +15,7 @@ CALLERS = 20
 
 def changed_symbols(symbols: DataFrame, ranges: DataFrame) -> DataFrame:
     """Definitions that overlap a range (file, range_start, range_end), once each."""
-    hit = symbols.join(ranges, "file").where("start_line <= range_end and end_line >= range_start")
+    hit = symbols.join(ranges.select("file", "range_start", "range_end").distinct(), "file").where("start_line <= range_end and end_line >= range_start")
     return symbols.join(hit.select("id").distinct(), "id", "left_semi")
 
 
@@ -38,7 +39,7 @@ def impact(changed: DataFrame, status: str, edges: DataFrame) -> DataFrame:
 
 def impact_callers(changed: DataFrame, edges: DataFrame, symbols: DataFrame, most: int = CALLERS) -> DataFrame:
     """(name, place, caller, file, line, resolution): the first callers of each changed name by file, line and order."""
-    names = changed.select(F.col("name").alias("callee_name")).distinct()
+    names = joinable(changed.select(F.col("name").alias("callee_name")).distinct())
     order = Window.partitionBy("callee_name").orderBy("file", "line", "seq")
     placed = edges.join(names, "callee_name", "left_semi").withColumn("place", F.row_number().over(order).cast("bigint")).where(F.col("place") <= most)
     return callers(placed, symbols).select(F.col("callee_name").alias("name"), "place", "caller", "file", "line", F.col("kind").alias("resolution"))
