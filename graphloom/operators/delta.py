@@ -80,6 +80,13 @@ def incremental_edges(edges: DataFrame, before: Graph, after: Graph, changes: Da
     return kept.unionByName(edges_of_calls(fresh, after, index=index))
 
 
+def reached_calls(before: Graph, after: Graph, changes: DataFrame) -> DataFrame:
+    """Call sites of unchanged files whose edges the changes may alter: all others have the same edge before and after."""
+    calm = before.call_sites.join(changes.select(F.col("path").alias("file")), "file", "left_anti")
+    reached = _reach(before, after, changes)(expand_aliases(calm, before.aliases))
+    return reached.where("reached").select(*before.call_sites.columns)
+
+
 def relabelled(before: DataFrame, after: DataFrame, symbols_before: DataFrame, symbols_after: DataFrame, changes: DataFrame) -> DataFrame:
     """Edges of unchanged files whose label or target (file, name, start line) differs."""
     paths = changes.select(F.col("path").alias("file"))

@@ -345,7 +345,10 @@ def affected_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def delta_relabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     before, after, changes = _changes(spark, sf_dir)
-    return D.relabelled(R.edges_of(before), R.edges_of(after), before.symbols, after.symbols, changes)
+    changes = joinable(changes)
+    calls = saved(D.reached_calls(before, after, changes))
+    old, new = (R.edges_of(Graph(**(g.tables() | {"call_sites": calls}))) for g in (before, after))
+    return D.relabelled(old, new, before.symbols, after.symbols, changes)
 
 
 # Bundles ------------------------------------------------------------------------------------------
