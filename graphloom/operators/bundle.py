@@ -37,11 +37,19 @@ def with_snippets(ranked: DataFrame, symbols: DataFrame, files: DataFrame, radiu
     return known.join(text, "file", "left").withColumn("snippet", snippet).drop("content", "span", "start_line", "end_line")
 
 
-def caller_report(ranked: DataFrame, cap: int = CALLERS) -> DataFrame:
-    """(name, caller_count, callers_included, test_caller_count, omitted): nothing is left out silently."""
-    site = F.concat_ws(":", "file", F.col("line").cast("string"))
-    left_out = F.sort_array(F.collect_list(F.when(F.col("place") > cap, F.struct("place", site.alias("site")))))
-    return ranked.groupBy("name").agg(
-        F.count("*").alias("caller_count"), F.least(F.count("*"), F.lit(cap)).cast("bigint").alias("callers_included"),
-        F.count_if("is_test").cast("bigint").alias("test_caller_count"), F.array_join(left_out["site"], ",").alias("omitted"),
+def caller_report(edges: DataFrame, cap: int = CALLERS) -> DataFrame:
+    """(name, caller_count, callers_included, test_caller_count, omitted) of callers as ranked_callers() places them: nothing is left out silently.
+
+    Places follow from file and line, so the lines that a file has of a name travel as one array.
+    """
+    lines = edges.groupBy(F.col("callee_name").alias("name"), "file").agg(F.sort_array(F.collect_list(F.struct("line"))).alias("lines"))
+    is_test = is_test_file(F.col("file"))
+    by_name = lines.groupBy("name").agg(
+        F.sum(F.size("lines")).alias("caller_count"), F.sum(F.when(is_test, F.size("lines")).otherwise(0)).alias("test_caller_count"),
+        F.sort_array(F.collect_list(F.struct((~is_test).alias("later"), "file", "lines"))).alias("files"),
     )
+    sites = F.flatten(F.transform("files", lambda f: F.transform(f["lines"], lambda at: F.concat_ws(":", f["file"], at["line"].cast("string")))))
+    left_out = F.slice(sites, cap + 1, F.greatest(F.col("caller_count") - cap, F.lit(0)).cast("int"))
+    return by_name.select(
+        "name", "caller_count", F.least("caller_count", F.lit(cap)).cast("bigint").alias("callers_included"), "test_caller_count", F.array_join(left_out, ",").alias("omitted")
+    )

@@ -360,11 +360,14 @@ def _tested(g: Graph) -> Graph:
     return g.map(lambda n, t: t.withColumn("path", move("path")) if n == "files" else t.withColumn("file", move("file")))
 
 
-def _ranked(spark: SparkSession, sf_dir: str) -> tuple[Graph, DataFrame]:
+def _tested_edges(spark: SparkSession, sf_dir: str) -> tuple[Graph, DataFrame]:
     g, edges = _edges(spark, sf_dir)
-    move = lambda c: F.regexp_replace(c, "^pkg3/m38", "tests/m38")
-    g = _tested(g)
-    return g, B.ranked_callers(edges.withColumn("file", move("file")), g.symbols)
+    return _tested(g), edges.withColumn("file", F.regexp_replace("file", "^pkg3/m38", "tests/m38"))
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> tuple[Graph, DataFrame]:
+    g, edges = _tested_edges(spark, sf_dir)
+    return g, B.ranked_callers(edges, g.symbols)
 
 
 @query
@@ -374,7 +377,7 @@ def bundle_callers_tests_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def bundle_omitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.caller_report(_ranked(spark, sf_dir)[1])
+    return B.caller_report(_tested_edges(spark, sf_dir)[1])
 
 
 @query
