@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom import session
 from graphloom.functions import names as N
+from graphloom.operators import delta as D
 from graphloom.plans import oracles, registry
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -96,3 +97,12 @@ def test_calls_are_shuffled_twice(spark, name):
 def test_rows_are_the_same_where_lookups_are_many(spark, duck, monkeypatch, name):
     monkeypatch.setattr(session, "FEW", 0)
     test_rows_are_those_of_the_sql(spark, duck, name)
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no tables")
+def test_relabelling_looks_at_reached_calls_only(spark):
+    g, after, changes = registry._changes(spark, DATA)
+    few = changes.where("path = 'pkg0/m0.rs'")
+    calls, all_ = D.reached_calls(g, after, few), g.call_sites.count()
+    assert 0 < calls.count() < all_ and calls.where("file = 'pkg0/m0.rs'").isEmpty()
+    assert all(f.endswith(".parquet") for f in session.saved(few).inputFiles())
