@@ -81,7 +81,7 @@ def _shuffles_of_calls(df) -> int:
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no tables")
-@pytest.mark.parametrize("name", ["resolve_edges", "bundle_callers_tests_first", "closure_callers", "closure_callees", "impact_callers_capped", "bundle_omitted", "bundle_snippets", "base_hop", "external_receivers", "same_file_last_def", "receiver_resolve", "label_by_call_kind", "label_totals", "rule_histogram", "status_counts", "top_externals", "enumerate_all"])
+@pytest.mark.parametrize("name", ["resolve_edges", "bundle_callers_tests_first", "closure_callers", "closure_callees", "impact_callers_capped", "bundle_omitted", "bundle_snippets", "base_hop", "external_receivers", "same_file_last_def", "receiver_resolve", "label_by_call_kind", "label_totals", "rule_histogram", "status_counts", "top_externals", "enumerate_all", "import_resolve"])
 def test_calls_are_shuffled_twice(spark, name):
     """To the definition that they call and to their file; where lookups are few, nothing else moves them, whatever Spark thinks of sizes."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
